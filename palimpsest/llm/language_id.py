@@ -210,6 +210,21 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
     return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float, *, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with at least this score."""
+    spark = docs.sparkSession
+    shared_dir(spark)
+    shipped = spark.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, scores = shipped.value.predict(b.column(place).to_pylist())
+            yield b.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 

@@ -57,17 +57,21 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: fl
     return s.select("source", "source_size", got.alias("target"))
 
 
-def mix(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, **shares) -> DataFrame:
+def mix(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: DataFrame | None = None, **shares) -> DataFrame:
     """(id, size, source, source_size, target, taken, h) for each row of docs: h is a hash of the text.
 
-    weight is a column of docs (null, zero and below count as 1).  Null and empty texts have size 0
+    weights: (id, weight), a row an id; absent, null, zero and lower weights count as 1.  Null and empty texts have size 0
     and are taken 0 times.  Null is a source of its own, after all others.  Repeated rows are documents each, in
     an order of their own; an empty table gives an empty result.
     The last document that a source's target reaches is taken in part, so taken words meet the target to
     less than one word.
     """
-    w = F.coalesce(weight, F.lit(1.0)) if weight is not None else F.lit(1.0)
-    rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(text).alias("h"), F.when(w > 0, w).otherwise(1.0).cast("double").alias("w"))
+    rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(text).alias("h"))
+    if weights is not None:  # what is joined holds no texts
+        rows = work.write(rows, "mix-sized").join(weights.select("id", F.col("weight").alias("w")), "id", "left")
+    else:
+        rows = rows.withColumn("w", F.lit(1.0))
+    rows = rows.withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(1.0).cast("double"))
     u = uniform(F.lit(SEED), F.coalesce(F.col("id").cast("string"), F.lit("")))
     rows = work.write(rows.withColumn("p", F.pow(u, 1 / F.col("w"))).drop("w"), "mix-rows")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -90,18 +94,15 @@ def mix(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "t
     return dealt.select("id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "h")
 
 
-def labelled_weight(spark: SparkSession, docs: DataFrame, sf_dir: str, key: str = "doc_id") -> DataFrame:
-    """docs with __weight from the mean quality label of the key; labels of several rows are averaged."""
-    labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("__label_id")).agg(F.avg("quality").alias("__quality"))
-    joined = docs.join(labels, docs[key] == labels["__label_id"], "left")
-    return joined.withColumn("__weight", F.when(F.col("__quality") >= 0.5, GOOD).when(F.col("__quality") < 0.5, POOR).otherwise(PLAIN)).drop("__label_id", "__quality")
+def labelled_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, weight) from the mean quality label of a document."""
+    quality = read(spark, sf_dir, "labels").where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.avg("quality").alias("q"))
+    return quality.select("id", F.when(F.col("q") >= 0.5, GOOD).when(F.col("q") < 0.5, POOR).otherwise(PLAIN).alias("weight"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, with weights by their labelled quality."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    sized = docs.select("doc_id", "text", "source")
-    mixed = mix(labelled_weight(spark, sized, sf_dir), Workspace(spark, "op8"), weight=F.col("__weight"))
+    mixed = mix(read(spark, sf_dir, "documents"), Workspace(spark, "op8"), weights=labelled_weights(spark, sf_dir))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 

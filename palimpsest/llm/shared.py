@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: a batch of long texts must fit in a Python worker beside its caches.
 ARROW_ROWS = 1000
+#: Bits of the filter of hits: 8 MB at most, whatever the input.
+FILTER_BITS = 1 << 26
+BITMAP_BITS = 1 << 15
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +49,16 @@ class Workspace:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def only_hits(rows: DataFrame, hits: DataFrame, column: str = "digest") -> DataFrame:
+    """rows whose digest may be among hits: a hashed bit set of fixed size is broadcast, so that others don't move."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    place = {"__map": F.floor(bit / BITMAP_BITS).cast("int"), "__bit": (bit % BITMAP_BITS).cast("int")}
+    maps = hits.withColumns(place).groupBy("__map").agg(F.bitmap_construct_agg(F.col("__bit").cast("long")).alias("__bits"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = rows.withColumns(place).join(F.broadcast(maps), "__map")
+    return found.where(F.getbit(byte, F.pmod("__bit", F.lit(8))) == 1).drop("__map", "__bit", "__bits")
+
+
 def components(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for nodes that have an edge.
 
