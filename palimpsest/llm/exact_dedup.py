@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, read
+from palimpsest.llm.shared import Workspace, only_hits, read
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A group of copies is compared in shares of about this many rows.
@@ -79,7 +79,7 @@ def dedup(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str =
     # that stays is repeated
     hits = entries.where("n > 1").select("digest", F.col("id").alias("keep"), F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
     hits = work.write(hits, "hits")
-    found = work.write(rows.join(hits, "digest").select("digest", "id", "keep", "shares", "t"), "texts")
+    found = work.write(only_hits(rows, hits).join(hits, "digest").select("digest", "id", "keep", "shares", "t"), "texts")
     stay = found.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("digest", "shares").agg(F.min("t").alias("stay"))
     stay = stay.select("digest", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "stay")
     members = found.where(~F.col("id").eqNullSafe(F.col("keep"))).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
