@@ -2,12 +2,503 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES = {}
+from palimpsest.functions import values
+from palimpsest.operators import documents, files, graph, integrity, keyvalue, resolve, writes
+from palimpsest.plans.lower import Store
+from palimpsest.plans.plan import Query
+from palimpsest.streaming import feed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def sessions(spark, d) -> DataFrame:
+    """A log of versions: users' states by event, deleted on an error."""
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"), F.col("user_id").alias("id"), "event_type", "value")
+
+
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumns({"seq": F.col(key), "op": F.lit("put")}).withColumnRenamed(key, "id")
+
+
+def policies(spark, d) -> DataFrame:
+    nxt = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    o = table(spark, d, "orders").withColumn("n", nxt)
+    return o.select(F.col("o_orderkey").alias("seq"), F.lit("put").alias("op"), F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid_from"), F.date_format("n", "yyyy-MM-dd").alias("valid_to"), "o_totalprice")
+
+
+def churn(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "unlink").otherwise("link").alias("op"), F.col("user_id").alias("frm"), F.lit("near").alias("rel"), (k % 5).alias("to"))
+
+
+def turns(spark, d) -> DataFrame:
+    """A causal log: each turn is caused by the one before in its conversation.  Numbers are unique without a global sort."""
+    c = table(spark, d, "conversations")
+    seq = F.col("conv_id") * 1000 + F.col("turn")
+    before = F.lag(seq).over(Window.partitionBy("conv_id").orderBy("turn"))
+    cause = F.when(before.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(before))
+    return c.select(seq.alias("seq"), F.lit("put").alias("op"), seq.alias("id"), cause.alias("caused_by"), "conv_id", "turn", "role")
+
+
+def places(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("frm"), F.lit("places").alias("rel"), F.col("o_orderkey").alias("to"), F.col("o_orderkey").alias("added_seq"), F.lit(None).cast("long").alias("removed_seq"))
+
+
+def store(spark, d) -> Store:
+    got = {"sessions": sessions(spark, d), "policies": policies(spark, d)}
+    for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("documents", "doc_id")):
+        got[name] = keyed(table(spark, d, name), key)
+    return Store(got, places(spark, d), {"places": "orders"}, {"part": ["p_name", "p_type"]})
+
+
+HEAD = "SELECT user_id AS id, event_id AS seq, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events {where}) WHERE n = 1 AND event_type <> 'error'"
+OUT = ("id", "seq", "event_type", "value")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("value") >= 50)
+    return store(spark, sf_dir).query("FROM sessions WHERE value >= 50 ORDER BY value DESC LIMIT 10")
+
+
+@query(HEAD.format(where=""))
+def head_scan(s, d):
+    return resolve.head(sessions(s, d)).select(*OUT)
+
+
+@query(HEAD.format(where="WHERE event_id <= 5000"))
+def as_of_scan(s, d):
+    return store(s, d).query("FROM sessions AS OF 5000").select(*OUT)
+
+
+@query(f"SELECT id FROM ({HEAD.format(where='WHERE event_id <= (SELECT max(event_id) // 2 FROM events)')}) WHERE id NOT IN (SELECT id FROM ({HEAD.format(where='')}))")
+def as_of_deleted_visible(s, d):
+    v = sessions(s, d)
+    mid = v.agg(F.floor(F.max("seq") / 2)).first()[0]
+    return resolve.as_of(v, mid).join(resolve.head(v), "id", "left_anti").select("id")
+
+
+@query(HEAD.format(where="WHERE user_id = 7"))
+def point_lookup(s, d):
+    return resolve.get(sessions(s, d), 7).select(*OUT)
+
+
+@query("SELECT user_id AS id, event_id AS seq, lag(event_id) OVER w AS prev_seq, lead(event_id) OVER w AS next_seq FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def version_history(s, d):
+    return resolve.history(sessions(s, d)).select("id", "seq", "prev_seq", "next_seq")
+
+
+@query("SELECT user_id AS id, event_id AS seq, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS diff FROM events")
+def version_diff(s, d):
+    w = Window.partitionBy("id").orderBy("seq")
+    return sessions(s, d).select("id", "seq", F.round(F.col("value") - F.lag("value").over(w), 6).alias("diff"))
+
+
+@query("SELECT max(event_id) AS seq, arg_max(user_id, event_id) AS id FROM events")
+def tip_global(s, d):
+    return resolve.tip(sessions(s, d)).select("seq", "id")
+
+
+@query("SELECT event_type, max(event_id) AS seq, arg_max(user_id, event_id) AS id FROM events GROUP BY 1")
+def tip_per_collection(s, d):
+    return resolve.tip(sessions(s, d).select("event_type", "seq", "id"), "event_type")
+
+
+@query("SELECT event_id AS seq, user_id AS id FROM events ORDER BY event_id DESC LIMIT 20")
+def log_tail(s, d):
+    return resolve.log(sessions(s, d), 20).select("seq", "id")
+
+
+@query("SELECT 'sessions-' || (user_id % 3)::VARCHAR AS coll, count(*) AS n FROM (" + HEAD.format(where="").replace("user_id AS id", "user_id") + ") GROUP BY 1")
+def collection_counts(s, d):
+    v = sessions(s, d)
+    return resolve.counts(v.withColumn("coll", F.concat(F.lit("sessions-"), (F.col("id") % 3).cast("string"))))
+
+
+VALID = "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS valid_from, strftime(lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), '%Y-%m-%d') AS valid_to FROM orders"
+
+
+@query(f"SELECT * FROM ({VALID}) WHERE valid_from <= '1996-06-15' AND (valid_to IS NULL OR valid_to >= '1996-06-15')")
+def valid_as_of(s, d):
+    return store(s, d).query("FROM policies VALID AS OF '1996-06-15'").select("id", "valid_from", "valid_to")
+
+
+@query(f"SELECT * FROM ({VALID}) WHERE id <= 900 AND valid_from <= '1996-06-15' AND (valid_to IS NULL OR valid_to >= '1996-06-15')")
+def bitemporal(s, d):
+    return store(s, d).query("FROM policies AS OF 900 VALID AS OF '1996-06-15'").select("id", "valid_from", "valid_to")
+
+
+@query("SELECT p.at_seq, p.user_id AS id, arg_max(e.event_id, e.event_id) AS seq FROM (SELECT DISTINCT user_id, event_id + 3 AS at_seq FROM events WHERE event_type = 'purchase') p JOIN events e ON e.user_id = p.user_id AND e.event_id <= p.at_seq GROUP BY ALL HAVING arg_max(e.event_type, e.event_id) <> 'error'")
+def as_of_each(s, d):
+    v = sessions(s, d)
+    probes = v.where("event_type = 'purchase'").select("id", (F.col("seq") + 3).alias("at_seq"))
+    return resolve.as_of_each(v, probes).select("id", "at_seq", "seq")
+
+
+def _customers(where: str) -> str:
+    return f"SELECT c_custkey AS id, c_mktsegment, c_acctbal FROM customer WHERE {where}"
+
+
+@query(_customers("c_mktsegment = 'BUILDING'"))
+def where_eq(s, d):
+    return store(s, d).query("FROM customer WHERE c_mktsegment = 'BUILDING'").select("id", "c_mktsegment", "c_acctbal")
+
+
+@query(_customers("c_mktsegment IS DISTINCT FROM 'BUILDING'"))
+def where_ne(s, d):
+    return store(s, d).query("FROM customer WHERE c_mktsegment != 'BUILDING'").select("id", "c_mktsegment", "c_acctbal")
+
+
+@query(_customers("c_acctbal >= 100 AND c_acctbal < 5000 AND c_nationkey = 7"))
+def where_and(s, d):
+    return store(s, d).query("FROM customer WHERE c_acctbal >= 100 AND c_acctbal < 5000 AND c_nationkey = 7").select("id", "c_mktsegment", "c_acctbal")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE false")
+def where_cross_type(s, d):
+    return store(s, d).query("FROM customer WHERE c_mktsegment > 3").select("id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE contains(lower(concat_ws(' ', doc_id, text, lang, source, n_chars)), 'licensed') AND contains(lower(concat_ws(' ', doc_id, text, lang, source, n_chars)), 'under')")
+def search_scan(s, d):
+    return store(s, d).query("FROM documents SEARCH 'Licensed under'").select("id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE list_contains(list_concat(regexp_extract_all(lower(p_name), '[a-z0-9]+'), regexp_extract_all(lower(p_type), '[a-z0-9]+')), 'steel')")
+def search_tokens(s, d):
+    return store(s, d).query("FROM part SEARCH 'Steel'").select("id")
+
+
+@query("SELECT c_custkey AS id, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+def order_limit(s, d):
+    return Query("customer").order_by("c_acctbal", desc=True).limit(25).run(store(s, d)).select("id", "c_acctbal")
+
+
+@query(f"SELECT id, value FROM ({HEAD.format(where='')}) WHERE value >= 50 ORDER BY value DESC, id LIMIT 10")
+def topk(s, d):
+    return flagship(s, d).select("id", "value")
+
+
+@query("SELECT c_mktsegment, count(*) AS count FROM customer GROUP BY 1")
+def group_count(s, d):
+    return store(s, d).query("FROM customer GROUP BY c_mktsegment COUNT")
+
+
+for _f in ("sum", "avg", "min", "max"):
+
+    def _grouped(s, d, f=_f):
+        out = store(s, d).query(f"FROM orders GROUP BY o_orderstatus {f.upper()} o_totalprice")
+        return out.select("o_orderstatus", "count", F.round(f"{f}_o_totalprice", 2).alias(f"{f}_o_totalprice"))
+
+    QUERIES[f"group_{_f}"] = _grouped
+    SQL[f"group_{_f}"] = f"SELECT o_orderstatus, count(*) AS count, round({_f}(o_totalprice), 2) AS {_f}_o_totalprice FROM orders GROUP BY 1"
+
+
+@query("SELECT c_mktsegment, count(*) AS count FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50) GROUP BY 1")
+def group_after_limit(s, d):
+    return store(s, d).query("FROM customer ORDER BY c_acctbal DESC LIMIT 50 GROUP BY c_mktsegment")
+
+
+EDGES = """WITH ev AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'unlink' ELSE 'link' END AS op, user_id AS frm, 'near' AS rel, (props->>'$.k')::BIGINT % 5 AS "to" FROM events),
+b AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY frm, rel, "to" ORDER BY seq), 'unlink') AS p FROM ev),
+k AS (SELECT *, lead(seq) OVER (PARTITION BY frm, rel, "to" ORDER BY seq) AS removed_seq FROM b WHERE op <> p),
+edges AS (SELECT frm, rel, "to", seq AS added_seq, removed_seq FROM k WHERE op = 'link') """
+
+
+@query(EDGES + "SELECT * FROM edges")
+def link_intervals(s, d):
+    return graph.intervals(churn(s, d))
+
+
+@query(EDGES + 'SELECT "to" FROM edges WHERE frm = 7 AND removed_seq IS NULL')
+def neighbors(s, d):
+    return graph.neighbors(graph.intervals(churn(s, d)), 7, "near")
+
+
+@query(EDGES + 'SELECT "to" FROM edges WHERE frm = 7 AND added_seq <= 3000 AND (removed_seq IS NULL OR removed_seq > 3000)')
+def neighbors_as_of(s, d):
+    return graph.neighbors(graph.intervals(churn(s, d)), 7, "near", 3000)
+
+
+@query(EDGES + 'SELECT frm FROM edges WHERE "to" = 2 AND removed_seq IS NULL')
+def inbound(s, d):
+    return graph.inbound(graph.intervals(churn(s, d)), 2, "near")
+
+
+@query(EDGES + """SELECT DISTINCT 'users-' || (frm % 2)::VARCHAR AS from_coll, rel, 'buckets' AS to_coll FROM edges WHERE removed_seq IS NULL""")
+def relation_schema(s, d):
+    return graph.relation_schema(graph.intervals(churn(s, d)), F.concat(F.lit("users-"), (F.col("frm") % 2).cast("string")), F.lit("buckets"))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def traverse_one_hop(s, d):
+    return store(s, d).query("FROM customer WHERE c_mktsegment = 'BUILDING' TRAVERSE places").select("id", "o_orderstatus")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey <= 700 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey <= 700 AND c_mktsegment = 'BUILDING')")
+def traverse_as_of(s, d):
+    return store(s, d).query("FROM customer AS OF 700 WHERE c_mktsegment = 'BUILDING' TRAVERSE places").select("id")
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')")
+def traverse_two_hop(s, d):
+    n, sup = table(s, d, "nation"), table(s, d, "supplier")
+    edge = lambda f, t, r, df: df.select(F.col(f).alias("frm"), F.lit(r).alias("rel"), F.col(t).alias("to"), F.lit(0).alias("added_seq"), F.lit(None).cast("long").alias("removed_seq"))
+    start = table(s, d, "region").where("r_name = 'ASIA'").withColumnRenamed("r_regionkey", "id")
+    nations = graph.traverse(start, edge("n_regionkey", "n_nationkey", "has", n), n.withColumnRenamed("n_nationkey", "id"), "has")
+    return graph.traverse(nations, edge("s_nationkey", "s_suppkey", "holds", sup), sup.withColumnRenamed("s_suppkey", "id"), "holds").select("id")
+
+
+TURNS = "WITH RECURSIVE t AS (SELECT conv_id, turn, conv_id * 1000 + turn AS seq, lag(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS cause FROM conversations), "
+
+
+@query(TURNS + "r AS (SELECT cause AS seq FROM t WHERE turn = 4 AND cause IS NOT NULL UNION SELECT t.cause FROM r JOIN t ON t.seq = r.seq WHERE t.cause IS NOT NULL) SELECT t.seq, t.conv_id FROM r JOIN t ON t.seq = r.seq")
+def trace_backward(s, d):
+    ops = turns(s, d)
+    return graph.trace(ops, ops.where("turn = 4").select("seq")).select("seq", "conv_id")
+
+
+@query(TURNS + "r AS (SELECT x.seq FROM t JOIN t x ON x.cause = t.seq WHERE t.turn = 1 UNION SELECT t.seq FROM r JOIN t ON t.cause = r.seq) SELECT t.seq, t.conv_id FROM r JOIN t ON t.seq = r.seq")
+def trace_forward(s, d):
+    ops = turns(s, d)
+    return graph.trace(ops, ops.where("turn = 1").select("seq"), reverse=True).select("seq", "conv_id")
+
+
+def _orders(s, d) -> DataFrame:
+    return table(s, d, "orders").withColumnRenamed("o_orderkey", "id")
+
+
+MATCHES = {
+    "mongo_match_ops": ({"o_totalprice": {"$gte": 1000, "$lt": 200000}, "o_orderstatus": {"$ne": "F"}}, "o_totalprice >= 1000 AND o_totalprice < 200000 AND o_orderstatus <> 'F'"),
+    "mongo_or_nor": ({"$or": [{"o_orderstatus": "F"}, {"o_totalprice": {"$gt": 300000}}], "$nor": [{"o_orderpriority": "1-URGENT"}]}, "(o_orderstatus = 'F' OR o_totalprice > 300000) AND NOT o_orderpriority = '1-URGENT'"),
+    "mongo_in": ({"o_orderstatus": {"$in": ["F", "P"]}, "o_orderpriority": {"$nin": ["2-HIGH"]}}, "o_orderstatus IN ('F', 'P') AND o_orderpriority NOT IN ('2-HIGH')"),
+    "mongo_regex": ({"o_orderpriority": {"$regex": "^[12]-.*h$", "$options": "i"}}, "regexp_matches(o_orderpriority, '(?i)^[12]-.*h$')"),
+    "mongo_mod": ({"o_custkey": {"$mod": [7, 3]}}, "o_custkey % 7 = 3"),
+    "mongo_exists_not": ({"o_orderstatus": {"$exists": True, "$not": {"$eq": "O"}}, "nowhere": {"$exists": False}}, "o_orderstatus <> 'O'"),
+}
+for _name, (_q, _sql) in MATCHES.items():
+    QUERIES[_name] = lambda s, d, q=_q: documents.find(_orders(s, d), q).select("id")
+    SQL[_name] = f"SELECT o_orderkey AS id FROM orders WHERE {_sql}"
+
+
+def _tagged(s, d) -> DataFrame:
+    e = table(s, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string"))).alias("tags"), F.struct(F.get_json_object("props", "$.k").cast("long").alias("k")).alias("props"))
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type = 'click' AND user_id % 4 = 1")
+def mongo_array(s, d):
+    return documents.find(_tagged(s, d), {"tags": {"$all": ["click", "u1"], "$size": 2}, "$and": [{"tags": "click"}]}).select("id")
+
+
+@query("SELECT event_id AS id FROM events WHERE (props->>'$.k')::BIGINT >= 50")
+def mongo_path(s, d):
+    return documents.find(_tagged(s, d), {"props.k": {"$gte": 50}}).select("id")
+
+
+@query("SELECT DISTINCT unnest([event_type, 'u' || (user_id % 4)::VARCHAR]) AS value FROM events")
+def mongo_distinct(s, d):
+    return documents.distinct(_tagged(s, d), "tags")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 2) AS mean FROM orders WHERE o_totalprice > 500 GROUP BY 1")
+def mongo_group_multi(s, d):
+    out = documents.aggregate(_orders(s, d), [{"$match": {"o_totalprice": {"$gt": 500}}}, {"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}, "total": {"$sum": "$o_totalprice"}, "mean": {"$avg": "$o_totalprice"}}}])
+    return out.select(F.col("_id").alias("status"), F.col("n").cast("long").alias("n"), F.round("total", 2).alias("total"), F.round("mean", 2).alias("mean"))
+
+
+@query("SELECT o_custkey AS cust, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY 1")
+def mongo_first_last(s, d):
+    out = documents.aggregate(_orders(s, d), [{"$sort": {"o_orderdate": 1}}, {"$group": {"_id": "$o_custkey", "first_order": {"$first": "$id"}, "last_order": {"$last": "$id"}}}])
+    return out.select(F.col("_id").alias("cust"), "first_order", "last_order")
+
+
+@query("SELECT o_custkey AS cust, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS pushed, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS states FROM orders GROUP BY 1")
+def mongo_push_set(s, d):
+    out = documents.aggregate(_orders(s, d), [{"$group": {"_id": "$o_custkey", "p": {"$push": "$id"}, "t": {"$addToSet": "$o_orderstatus"}}}])
+    return out.select(F.col("_id").alias("cust"), F.array_join(F.col("p").cast("array<string>"), ",").alias("pushed"), F.array_join("t", ",").alias("states"))
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+def mongo_count(s, d):
+    return documents.aggregate(_orders(s, d), [{"$match": {"o_orderstatus": "F"}}, {"$count": "n"}])
+
+
+@query("SELECT o_orderkey AS id, o_totalprice FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 10")
+def mongo_sort_skip_limit(s, d):
+    return documents.find(_orders(s, d), {}, {"o_totalprice": 1}, [("o_orderstatus", 1), ("o_totalprice", -1)], 10, 15)
+
+
+@query("SELECT o_orderkey AS id, o_orderdate::VARCHAR AS day FROM orders")
+def mongo_project(s, d):
+    out = documents.find(_orders(s, d), {}, {"o_custkey": 0, "o_orderstatus": 0, "o_totalprice": 0, "o_orderpriority": 0})
+    return out.select("id", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"))
+
+
+@query("SELECT o_orderkey AS id, o_custkey + 5 AS o_custkey, 'late' AS o_orderstatus FROM orders WHERE o_orderpriority = '5-LOW'")
+def mongo_update(s, d):
+    return documents.update(_orders(s, d), {"o_orderpriority": "5-LOW"}, {"$inc": {"o_custkey": 5}, "$set": {"o_orderstatus": "late"}}).select("id", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT -1::BIGINT AS id, 'X' AS o_orderstatus, 3::BIGINT AS o_custkey")
+def mongo_upsert(s, d):
+    return documents.upsert(_orders(s, d), {"o_orderstatus": "X"}, {"$set": {"o_custkey": 3}}, -1).select("id", "o_orderstatus", "o_custkey")
+
+
+@query("SELECT c_name, c_acctbal FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0 ORDER BY c_acctbal, c_custkey LIMIT 20")
+def sql_select(s, d):
+    return store(s, d).sql("SELECT c_name, c_acctbal FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0 ORDER BY c_acctbal LIMIT 20")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_type LIKE '%STEEL%'")
+def sql_like(s, d):
+    return store(s, d).sql("SELECT id FROM part WHERE p_type LIKE '%STEEL%'")
+
+
+@query(f"SELECT id FROM ({VALID}) WHERE valid_to IS NULL")
+def sql_is_null(s, d):
+    return store(s, d).sql("SELECT id FROM policies WHERE valid_to IS NULL")
+
+
+def _deltas(s, d) -> DataFrame:
+    return table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k").cast("long")).alias("delta"))
+
+
+@query("WITH r AS (SELECT user_id, max(event_id) AS m FROM events WHERE event_type = 'error' GROUP BY 1) SELECT e.user_id AS id, sum((props->>'$.k')::BIGINT)::BIGINT AS value FROM events e LEFT JOIN r ON e.user_id = r.user_id WHERE r.m IS NULL OR e.event_id > r.m GROUP BY 1")
+def kv_counter(s, d):
+    return keyvalue.counters(_deltas(s, d))
+
+
+@query("SELECT coll, id, value FROM (SELECT user_id AS coll, event_type AS id, value, event_type AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND t <> 'error'")
+def kv_hgetall(s, d):
+    v = sessions(s, d)
+    return keyvalue.hashes(v.select("seq", "op", F.col("id").alias("coll"), F.col("event_type").alias("id"), "value"))
+
+
+@query("SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'click' THEN -event_id - 1 ELSE event_id END) - 1 AS pos, event_id AS value FROM events")
+def kv_lrange(s, d):
+    v = sessions(s, d)
+    return keyvalue.lists(v.select("id", F.when(F.col("event_type") == "click", "L").otherwise("R").alias("side"), "seq", F.col("seq").alias("value")))
+
+
+@query("SELECT user_id AS id FROM (" + HEAD.format(where="").replace("user_id AS id", "user_id") + ") WHERE regexp_matches(user_id::VARCHAR, '^1.*$')")
+def kv_keys(s, d):
+    return keyvalue.keys(keyvalue.strings(sessions(s, d)), "1*")
+
+
+for _op, _sql in (("union", "UNION"), ("inter", "INTERSECT"), ("diff", "EXCEPT")):
+
+    def _sets(s, d, op=_op):
+        e = churn(s, d)
+        by = lambda k: graph.live(graph.intervals(e)).where(F.col("to") == k).select(F.col("frm").alias("member"))
+        return getattr(keyvalue, op)(by(1), by(2))
+
+    QUERIES[f"set_{_op}"] = _sets
+    SQL[f"set_{_op}"] = EDGES + f'SELECT frm AS member FROM edges WHERE "to" = 1 AND removed_seq IS NULL {_sql} SELECT frm FROM edges WHERE "to" = 2 AND removed_seq IS NULL'
+
+
+def _arrivals(s, d) -> DataFrame:
+    e = table(s, d, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return e.select(F.col("event_id").alias("arrival"), F.col("user_id").alias("client"), (F.col("event_id") - (k % 7) * 40).alias("nonce"), F.when(k % 3 == 0, F.concat_ws("-", "user_id", k)).alias("idem"))
+
+
+ARRIVALS = "WITH a AS (SELECT event_id AS arrival, user_id AS client, event_id - ((props->>'$.k')::BIGINT % 7) * 40 AS nonce, CASE WHEN (props->>'$.k')::BIGINT % 3 = 0 THEN user_id::VARCHAR || '-' || (props->>'$.k') END AS idem FROM events) "
+
+
+@query(ARRIVALS + "SELECT arrival FROM (SELECT *, row_number() OVER (PARTITION BY idem ORDER BY arrival) AS n FROM a) WHERE idem IS NULL OR n = 1")
+def idem_dedup(s, d):
+    return writes.first_per_idem(_arrivals(s, d)).select("arrival")
+
+
+@query(ARRIVALS + "SELECT arrival FROM (SELECT *, max(nonce) OVER (PARTITION BY client ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM a) WHERE nonce <= greatest(coalesce(m, 0), 0)")
+def nonce_violations(s, d):
+    return writes.nonce_violations(_arrivals(s, d)).select("arrival")
+
+
+@query("SELECT o_orderkey AS id, 100 + row_number() OVER (ORDER BY o_orderkey) - 1 AS seq FROM orders")
+def assign_seq(s, d):
+    return writes.assign_seq(_orders(s, d), 100, "id").select("id", "seq")
+
+
+@query("SELECT event_id AS seq, user_id AS id FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100")
+def since_page(s, d):
+    return feed.since(sessions(s, d), 500, 100).select("seq", "id")
+
+
+@query("SELECT min(event_id) AS first_seq, max(event_id) AS tip_seq, count(*) AS n, true AS scan_complete FROM events")
+def scan_status(s, d):
+    return feed.scan_status(sessions(s, d))
+
+
+@query("SELECT event_id AS id FROM events WHERE event_id + 100 * (user_id % 5) >= 400")
+def ttl_live(s, d):
+    e = table(s, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") + 100 * (F.col("user_id") % 5)).alias("expires_at"))
+    return writes.unexpired(e, 400).select("id")
+
+
+@query(HEAD.format(where=""))
+def snapshot_plus_delta(s, d):
+    v = sessions(s, d)
+    return writes.snapshot_plus_delta(resolve.as_of(v, 400), 400, v).select(*OUT)
+
+
+@query("SELECT count(*) AS before, count(*) FILTER (n = 1 AND event_type <> 'error') AS after, count(*) FILTER (NOT (n = 1 AND event_type <> 'error')) AS dropped FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events)")
+def compaction_stats(s, d):
+    return writes.compaction_stats(sessions(s, d))
+
+
+def _sealed(s, d) -> DataFrame:
+    body = F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey"))
+    return integrity.seal(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("seq"), body.alias("body")))
+
+
+@query()
+def chain_verify(s, d):
+    return integrity.verify(_sealed(s, d))
+
+
+def _pieces(s, d) -> DataFrame:
+    return files.cut(table(s, d, "pages").select(F.col("url").alias("name"), F.col("page_id").alias("version"), F.col("html").alias("data")))
+
+
+@query()
+def merkle_root(s, d):
+    return files.recipes(_pieces(s, d)).select("name", "version", "root")
+
+
+@query()
+def chunk_stats(s, d):
+    return files.stats(_pieces(s, d))
+
+
+@query("SELECT url AS name, page_id AS version, octet_length(encode(html)) AS n FROM pages")
+def file_restore(s, d):
+    p = _pieces(s, d)
+    return files.restore(files.recipes(p), files.store(p)).select("name", "version", F.octet_length("data").alias("n"))
+
+
+@query("SELECT p_partkey AS id, regexp_extract_all(lower(p_name), '[a-z0-9]+')[1] AS token FROM part")
+def tokenise(s, d):
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), values.tokens(F.col("p_name"))[0].alias("token"))

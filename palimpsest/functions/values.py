@@ -66,7 +66,7 @@ def digest(data: bytes) -> str:
     return hashlib.blake2b(data, digest_size=32).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blake2b(data: pd.Series) -> pd.Series:
     """BLAKE2b-256 of binary values, in hexadecimal; Spark has no built-in one."""
     return data.map(lambda x: None if x is None else digest(bytes(x)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.values import digest
 from palimpsest.operators.integrity import merkle_root_of
 
-LEAST, MOST, MASK = 2048, 65536, (1 << 13) - 1
+LEAST, MOST, CUT_BITS = 2048, 65536, 13
 
 
 def gears(seed: int = 11) -> list[int]:
@@ -24,12 +24,12 @@ def gears(seed: int = 11) -> list[int]:
 
 
 def chunks(data: bytes) -> Iterator[bytes]:
-    """Cuts where a rolling hash of what came before ends in 13 zeros, between 2 and 64 KiB."""
+    """Cuts where a rolling hash of the last 64 bytes begins with 13 zeros, between 2 and 64 KiB."""
     table, start, h, full = gears(), 0, 0, (1 << 64) - 1
     for i, b in enumerate(data):
         h = ((h << 1) + table[b]) & full
         size = i + 1 - start
-        if (size >= LEAST and not h & MASK) or size >= MOST:
+        if (size >= LEAST and not h >> (64 - CUT_BITS)) or size >= MOST:
             yield data[start : i + 1]
             start, h = i + 1, 0
     if start < len(data) or not data:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.values import blake2b, digest
 
@@ -89,7 +90,7 @@ def merkle_verify(leaf: str, proof: list[tuple[str, str]], root: str) -> bool:
     return leaf == root
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def merkle_root_of(recipes: pd.Series) -> pd.Series:
     return recipes.map(lambda r: merkle_root(list(r)))
 
