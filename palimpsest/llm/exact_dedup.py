@@ -16,8 +16,8 @@ from palimpsest.llm.shared import Workspace, only_hits, read
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A group of copies is compared in shares of about this many rows.
 SHARE = 2000
-#: Characters beyond ASCII that lower() changes.
-OTHER_CAPITALS = r"[\x{80}-\x{10FFFF}&&[\p{javaUpperCase}\p{javaTitleCase}]]"
+#: Characters beyond ASCII that lower() may change; planes beyond the first grow with each Unicode version.
+OTHER_CAPITALS = r"[\x{80}-\x{FFFF}&&[\p{javaUpperCase}\p{javaTitleCase}]]|[\x{10000}-\x{10FFFF}]"
 
 
 def normalised(text: Column) -> Column:
