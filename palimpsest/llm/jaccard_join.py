@@ -359,8 +359,13 @@ class Joiner:
         heads = self.work.write(keys.groupBy("h").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c"), "key-heads")
         stars = keys.join(heads, "h").where("node <> a").select("a", F.col("node").alias("b"))
         # lists: each class with the head that it meets in most lists
-        first = lists.groupBy("h").agg(F.min(F.struct("node", "n", "pos")).alias("top"), F.count("*").alias("c")).where("c > 1")
+        # the head of a list is its class with the most company in all its lists: of near copies, what they were copied from
+        counts = self.work.write(lists.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+        degree = self.work.write(lists.join(counts, "h").groupBy("node").agg(F.sum("c").alias("degree")), "degree")
+        ranked = self.work.write(lists.join(degree, "node"), "ranked")
+        first = ranked.groupBy("h").agg(F.max(F.struct("degree", "node", "n", "pos")).alias("top"), F.count("*").alias("c")).where("c > 1")
         first = self.work.write(first.select("h", F.col("top.node").alias("a"), F.col("top.n").alias("m"), F.col("top.pos").alias("at")), "heads")
+        self.work.drop("ranked")
         met = lists.join(first, "h").where((F.col("node") != F.col("a")) & self.possible(F.col("n"), F.col("pos"), F.col("m"), F.col("at")))
         met = met.groupBy("node", "a").count().groupBy("node").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
         tried = self.work.write(stars.union(met.select("a", F.col("node").alias("b"))).distinct(), "tried")
