@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.mixing import words
-from palimpsest.llm.shared import Workspace, read
+from palimpsest.llm.shared import Workspace, flag_hits, read
 
 #: A repeated run goes from this many words on.
 MIN_WORDS = 50
@@ -104,8 +104,11 @@ def dedup_lines(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text:
     gone = later_copies(docs, work, key=key, text=text, min_words=min_words)
     gone = gone.select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("gone").alias("__at"))
     doc, h = doc_key(key, text)
-    rows = docs.withColumns({"__d": doc, "__t": h})
-    joined = rows.join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__h")), "left")
+    rows = docs.withColumns({"__d": doc, "__t": h}).withColumn("__k", F.xxhash64("__d", "__t"))
+    # only documents that may lose lines meet their lines' positions; the others' texts stay where they are
+    rows = flag_hits(rows, gone.select(F.xxhash64("__doc", "__h").alias("__k")), "__k")
+    changed = rows.where("__hit").join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__h")), "left")
+    joined = changed.drop("__doc", "__h").unionByName(rows.where("not __hit").withColumn("__at", F.lit(None).cast("array<int>")))
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__at"), i))
     out = joined.withColumns({
@@ -115,7 +118,7 @@ def dedup_lines(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text:
     })
     out = out.withColumn("__gone", F.greatest(F.col("__gone"), F.lit(0).cast("long")))
     out = out.withColumn("__left", (F.col("__gone") == 0) | (F.col("__gone") < F.col("__lines")))
-    return out.drop("__d", "__t", "__doc", "__h", "__at")
+    return out.drop("__d", "__t", "__k", "__hit", "__at")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,14 +49,23 @@ class Workspace:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def only_hits(rows: DataFrame, hits: DataFrame, column: str = "digest") -> DataFrame:
-    """rows whose digest may be among hits: a hashed bit set of fixed size is broadcast, so that others don't move."""
+def flag_hits(rows: DataFrame, hits: DataFrame, column: str) -> DataFrame:
+    """rows with __hit: whether the column's value may be among those of hits; false is certain.
+
+    A hashed bit set of fixed size is broadcast, so no row moves.
+    """
     bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
     place = {"__map": F.floor(bit / BITMAP_BITS).cast("int"), "__bit": (bit % BITMAP_BITS).cast("int")}
     maps = hits.withColumns(place).groupBy("__map").agg(F.bitmap_construct_agg(F.col("__bit").cast("long")).alias("__bits"))
     byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    found = rows.withColumns(place).join(F.broadcast(maps), "__map")
-    return found.where(F.getbit(byte, F.pmod("__bit", F.lit(8))) == 1).drop("__map", "__bit", "__bits")
+    found = rows.withColumns(place).join(F.broadcast(maps), "__map", "left")
+    hit = F.coalesce(F.getbit(byte, F.pmod("__bit", F.lit(8))) == 1, F.lit(False))
+    return found.withColumn("__hit", hit).drop("__map", "__bit", "__bits")
+
+
+def only_hits(rows: DataFrame, hits: DataFrame, column: str = "digest") -> DataFrame:
+    """The rows whose value may be among hits."""
+    return flag_hits(rows, hits, column).where("__hit").drop("__hit")
 
 
 def components(edges: DataFrame, work: Workspace, name: str = "cc") -> DataFrame:
