@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of each row."""
-    return word_bpe.multi(docs, Workspace(spark, "stage7"), outputs="ids")
+    return word_bpe.multi(docs, outputs="ids")
 
 
 STAGES = [

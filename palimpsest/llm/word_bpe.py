@@ -1,11 +1,12 @@
 """Byte-level BPE by a global shuffle of distinct words, and decoding by the token-byte table.
 
-1. Blocks of documents are split into pre-tokens; a block keeps each document's pre-tokens by position, as
-   numbers of the block's own list of words, and deals its words over buckets by their hash.
+1. Blocks of documents are split into pre-tokens; a block deals its list of words over buckets by their hash.
 2. A bucket gathers the words of all blocks and encodes each distinct word once; every block gets
    its words' ids back.
-3. A block's positions and its words' ids meet; documents are put together by position, and decoded.
-Positions and words travel packed: a row holds many of them.
+3. Blocks are split again, now into each document's pre-tokens by position, as numbers of the block's list of
+   words.  They meet the words' ids; documents are put together by position, and decoded.
+Positions and words travel packed: a row holds many of them.  Splitting twice costs less than keeping the positions
+on disk from 1 to 3; checksums of the words make sure that both times saw the same blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, read
+from palimpsest.llm.shared import read, shared_dir
 from palimpsest.llm.token_counts import parts
 
 #: Characters of a block, beyond which no document is added to it.
@@ -115,52 +116,59 @@ class Block:
         self.sizes.append(n)
         self.chars += len(text)
 
-    def rows(self, block: int, buckets: int, key_type: pa.DataType) -> pa.RecordBatch:
+    def rows(self, block: int, buckets: int, key_type: pa.DataType, *, own: bool) -> list[tuple[int, int, bytes]]:
+        """(block, bucket, packed): with own one row of keys and positions, else its words, a row for each bucket."""
         raw = [w.encode("utf-8", "surrogatepass") for w in self.words]
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.uint32, len(raw))
+        order = np.argsort(bucket, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+        held = [(int(bucket[g[0]]), [raw[i] for i in g]) for g in groups]
+        if not own:
+            return [(block, b, squeezed(np.array([len(x) for x in words], "<u4"), b"".join(words))) for b, words in held]
         keys = pa.RecordBatch.from_arrays([pa.array(self.keys, key_type)], names=["k"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, keys.schema) as to:
             to.write_batch(keys)
         at = np.concatenate(self.at) if self.at else np.zeros(0, np.uint32)
-        own = squeezed(sink.getvalue().to_pybytes(), np.array(self.sizes, "<u8"), planes(at), planes(bucket))
-        out = [(block, -1, own)]
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        for group in np.split(order, cuts) if len(order) else []:
-            held = [raw[i] for i in group]
-            out.append((block, int(bucket[group[0]]), squeezed(np.array([len(x) for x in held], "<u4"), b"".join(held))))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))], names=["block", "bucket", "packed"])
+        sums = np.array([zlib.crc32(b"".join(words)) for _, words in held], "<u4")
+        return [(block, -1, squeezed(sink.getvalue().to_pybytes(), np.array(self.sizes, "<u8"), planes(at), planes(bucket), sums))]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, work: Workspace, *, key: str = "doc_id", text: str = "text", outputs: str = "digests") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id", text: str = "text", outputs: str = "digests") -> DataFrame:
     """Encodes and decodes each row's whole text.
 
     outputs "digests": (key, n_tokens, ids_sha256, decoded_sha256); "ids": (key, n_tokens, ids, decoded_sha256).
     A null text counts as empty: no ids.  Null keys and repeated rows come out as they went in; an
     empty table gives an empty result.  Texts are cut at safe places while they are split, which changes no match.
+    docs is read twice and must give its partitions alike, as tables do; if it doesn't, an error is raised.
     """
+    shared_dir(docs.sparkSession)
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     buckets = max(32, -(-chars // BUCKET_CHARS))
     key_type = pa.int64() if docs.schema[key].dataType.simpleString() == "bigint" else pa.string()
     kind = "long" if key_type == pa.int64() else "string"
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def split(own: bool):
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            find = Ranks.load(ranks_path, pattern).find
+            number, block = TaskContext.get().partitionId() << 32, Block()
+
+            def packed() -> pa.RecordBatch:
+                rows = block.rows(number, buckets, key_type, own=own)
+                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["block", "bucket", "packed"])
 
-        find = Ranks.load(ranks_path, pattern).find
-        number, block = TaskContext.get().partitionId() << 32, Block()
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                block.add(k, t or "", find)
-                if block.chars >= BLOCK_CHARS:
-                    yield block.rows(number, buckets, key_type)
-                    number, block = number + 1, Block()
-        if block.keys:
-            yield block.rows(number, buckets, key_type)
+            for b in batches:
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    block.add(k, t or "", find)
+                    if block.chars >= BLOCK_CHARS:
+                        yield packed()
+                        number, block = number + 1, Block()
+            if block.keys:
+                yield packed()
 
-    rows = docs.select(F.col(key).cast(kind).alias("k"), F.col(text).alias("t"))
-    packed = work.write(rows.mapInArrow(split, "block long, bucket long, packed binary"), "blocks")
+        return docs.select(F.col(key).cast(kind).alias("k"), F.col(text).alias("t")).mapInArrow(blocks, "block long, bucket long, packed binary")
 
     def distinct(table: pa.Table) -> pa.Table:
         piece, known, out = Ranks.load(ranks_path, pattern).piece, {}, []
@@ -175,19 +183,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, work: Workspace, *, k
                     got = known[w] = piece(w)
                 counts.append(len(got))
                 ids += got
-            out.append(squeezed(np.array(counts, "<u4"), planes(np.array(ids, np.uint32))))
+            out.append(squeezed(np.array(counts, "<u4"), planes(np.array(ids, np.uint32)), np.array([zlib.crc32(flat)], "<u4")))
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "packed": pa.array(out, pa.binary())})
 
-    words = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(distinct, "block long, bucket long, packed binary")
+    words = split(False).groupBy("bucket").applyInArrow(distinct, "block long, bucket long, packed binary")
     digests = outputs == "digests"
 
     def assemble(block: pa.Table, words: pa.Table) -> pa.Table:
         ranks = Ranks.load(ranks_path, pattern)
         out: dict[str, list] = {n: [] for n in ("k", "n", "ids", "decoded")}
         for data in block.column("packed").to_pylist():
-            keys, sizes, at, bucket = spread_out(data)
+            keys, sizes, at, bucket, sums = spread_out(data)
             at, bucket = unplanes(at), unplanes(bucket)
             got = {b: spread_out(p) for b, p in zip(words.column("bucket").to_pylist(), words.column("packed").to_pylist(), strict=True)}
+            if b"".join(got[b][2] for b in sorted(got)) != sums:
+                raise ValueError("docs gave other partitions when it was read again")
             order = np.argsort(bucket, kind="stable")  # a bucket's words are in the order of the block's list
             counts = np.concatenate([np.frombuffer(got[b][0], "<u4") for b in sorted(got)]) if got else np.zeros(0, np.uint32)
             flat = np.concatenate([unplanes(got[b][1]) for b in sorted(got)]) if got else np.zeros(0, np.uint32)
@@ -207,17 +217,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, work: Workspace, *, k
         return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), kinds, strict=True)})
 
     shape = f"k {kind}, n long, " + ("ids string" if digests else "ids array<int>") + ", decoded string"
-    done = packed.where("bucket < 0").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, shape)
+    done = split(True).groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, shape)
     names = ("n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256")
     return done.select(F.col("k").cast(docs.schema[key].dataType).alias(key), *[F.col(a).alias(b) for a, b in zip(("n", "ids", "decoded"), names, strict=True)])
 
 
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multi(read(spark, sf_dir, "documents"), Workspace(spark, "op7"))
+    return multi(read(spark, sf_dir, "documents"))
 
 
-def multi(docs: DataFrame, work: Workspace, **more) -> DataFrame:
+def multi(docs: DataFrame, **more) -> DataFrame:
     """With the public multilingual ranks."""
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, work, **more)
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, **more)

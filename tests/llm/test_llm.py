@@ -125,9 +125,9 @@ def test_lines(spark, docs):
 
 
 def test_words(spark, docs):
-    got = word_bpe.multi(docs, Workspace(spark, "t7")).collect()
+    got = word_bpe.multi(docs).collect()
     assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((x or "").encode()).hexdigest() for _, x, _ in ROWS)
-    assert word_bpe.multi(docs.limit(0), Workspace(spark, "t7e")).count() == 0
+    assert word_bpe.multi(docs.limit(0)).count() == 0
 
 
 def test_mix(spark, docs):
