@@ -254,7 +254,7 @@ def update(docs: DataFrame, query: dict, change: dict, key: str = "id") -> DataF
             elif op == "$addToSet":
                 new = F.concat(F.coalesce(old, F.array()), F.array_except(items, F.coalesce(old, F.array())))
             elif op == "$pull":
-                new = F.filter(old, lambda x, v=v: x != v) if not isinstance(v, dict) else F.filter(old, lambda x, v=v: ~reduce(lambda a, b: a & b, [{"$gt": x > w, "$gte": x >= w, "$lt": x < w, "$lte": x <= w, "$eq": x == w, "$in": x.isin(w) if isinstance(w, list) else F.lit(False)}[o] for o, w in v.items()]))
+                new = F.filter(old, lambda x: x != v) if not isinstance(v, dict) else F.filter(old, lambda x: ~reduce(lambda a, b: a & b, [{"$gt": x > w, "$gte": x >= w, "$lt": x < w, "$lte": x <= w, "$eq": x == w, "$in": x.isin(w) if isinstance(w, list) else F.lit(False)}[o] for o, w in v.items()]))
             elif op == "$pop":
                 n = F.greatest(F.size(old) - 1, F.lit(0))
                 new = F.slice(old, 1, n) if v > 0 else F.slice(old, 2, n)
