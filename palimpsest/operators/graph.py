@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import resolve
+
 
 def intervals(events: DataFrame) -> DataFrame:
     """events (seq, op, frm, rel, to), op link or unlink -> (frm, rel, to, added_seq, removed_seq).
@@ -46,18 +48,13 @@ def closure(start: DataFrame, steps: DataFrame) -> DataFrame:
 
     Each round is checkpointed to the shared folder, so lineage stays short and lost executors cost a reread.
     """
-    spark = start.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
     frontier = start.select("seq").distinct()
     seen = frontier.limit(0)
     while True:
-        found = frontier.join(steps, "seq").select(F.col("next").alias("seq")).distinct().join(seen, "seq", "left_anti").checkpoint()
+        found = resolve.checkpointed(frontier.join(steps, "seq").select(F.col("next").alias("seq")).distinct().join(seen, "seq", "left_anti"))
         if found.isEmpty():
             return seen
-        seen, frontier = seen.union(found).checkpoint(), found
+        seen, frontier = resolve.checkpointed(seen.union(found)), found
 
 
 def trace(ops: DataFrame, start: DataFrame, reverse: bool = False, include_root: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ fields.  All states are views of it, so filters on keys and sequence numbers rea
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +65,12 @@ def as_of_each(versions: DataFrame, probes: DataFrame, key: str = "id", at: str
 def counts(versions: DataFrame, by: str = "coll", key: str = "id") -> DataFrame:
     live = Window.partitionBy(by, key).orderBy(F.desc("seq"))
     return versions.withColumn("__n", F.row_number().over(live)).where("__n = 1 AND op = 'put'").groupBy(by).agg(F.count("*").alias("n"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read from there: what uses it twice sees the same rows and partitions."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
+        spark.sparkContext.setCheckpointDir(at)
+    return df.checkpoint()

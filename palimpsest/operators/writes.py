@@ -9,8 +9,12 @@ from palimpsest.operators import resolve
 
 
 def assign_seq(ops: DataFrame, base: int, order: str) -> DataFrame:
-    """Dense numbers from base on, in the batch's order: ranges are sorted apart, then offset by their sizes."""
+    """Dense numbers from base on, in the batch's order: ranges are sorted apart, then offset by their sizes.
+
+    The ranges are written once: cut a second time, their bounds and sizes could differ.
+    """
     parts = ops.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
+    parts = resolve.checkpointed(parts)
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
     starts = sizes.withColumn("__b", F.coalesce(before, F.lit(0))).drop("__c")

@@ -137,3 +137,17 @@ def test_feed(spark, users, tmp_path):
 def test_compaction(users):
     assert writes.compaction_stats(users).first().asDict() == {"before": 5, "after": 3, "dropped": 2}
     assert ids(resolve.head(writes.compact(users))) == ids(resolve.head(users))
+
+
+def test_numbers_are_dense_over_many_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = spark.range(200_000).select(F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        got = writes.assign_seq(rows, 100, "k").select("k", "seq", "payload")
+        n, distinct, least, most = got.agg(F.count("*"), F.countDistinct("seq"), F.min("seq"), F.max("seq")).first()
+        assert (n, distinct, least, most) == (200_000, 200_000, 100, 200_099)
+        assert got.join(got.select((F.col("seq") + 1).alias("seq"), F.col("k").alias("before")), "seq").where("k < before").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
