@@ -10,12 +10,13 @@ OPS = "seq LONG, client STRING, nonce LONG, op STRING, coll STRING, id STRING, d
 
 
 def read_json(spark: SparkSession, path: str, schema: str = OPS) -> DataFrame:
-    """Replays a log of JSON lines up to its first corrupt line; what follows it can't be trusted."""
+    """Replays a log of JSON lines up to its first corrupt line; what follows it can't be trusted.  Files follow by name."""
     full = T._parse_datatype_string(schema).add("__bad", T.StringType())
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
-    rows = rows.withColumns({"__file": F.input_file_name(), "__line": F.monotonically_increasing_id()})
-    bad = rows.select("__bad", "__line", "seq").where("__bad is not null").agg(F.min("__line").alias("stop"))
-    return rows.join(F.broadcast(bad)).where("stop is null or __line < stop").drop("__bad", "__file", "__line", "stop")
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", place.alias("__at")).where("trim(value) <> ''")
+    rows = lines.select("__at", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("__r")).select("__at", "__r.*")
+    bad = rows.where("__bad is not null").agg(F.min("__at").alias("__stop"))  # one row
+    return rows.join(F.broadcast(bad)).where("__stop is null or __at < __stop").drop("__bad", "__at", "__stop")
 
 
 def append(ops: DataFrame, path: str) -> None:

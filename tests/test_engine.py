@@ -121,6 +121,10 @@ def test_document_dialect(spark):
 def test_log_stops_at_corruption(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"seq":0,"op":"put"}\n{"seq":1,"op":"put"}\nbroken\n{"seq":3,"op":"put"}\n')
     assert sorted(r.seq for r in log.read_json(spark, str(tmp_path / "log.jsonl")).collect()) == [0, 1]
+    (tmp_path / "two").mkdir()
+    for name, lines in (("a", '{"seq":0}\n\n{"seq":1}\n'), ("b", '{"seq":2}\n{"seq":\n' + '{"seq":9}\n' * 500), ("c", '{"seq":3}\n' * 5)):
+        (tmp_path / "two" / f"{name}.jsonl").write_text(lines)
+    assert sorted(r.seq for r in log.read_json(spark, str(tmp_path / "two")).collect()) == [0, 1, 2]
 
 
 def test_feed(spark, users, tmp_path):
