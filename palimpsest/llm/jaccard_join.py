@@ -83,13 +83,16 @@ def overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def subset_keys(s: np.ndarray, small: int, percent: int) -> list[int]:
-    """A key for each subset that a link with a small set must contain."""
+def subset_keys(s: np.ndarray, small: int, percent: int) -> list[tuple[int, int]]:
+    """(key, side) for each subset that a link with a small set must contain.
+
+    A key is of a pair of sizes: side is 0 if they are equal, 1 if this set is the smaller one, else 2.
+    """
     n, out = len(s), []
     for m in range(-(-percent * n // 100), min(small, 100 * n // percent) + 1):
-        sizes = (min(n, m), max(n, m))
+        sizes, side = (min(n, m), max(n, m)), (n < m) + 2 * (n > m)
         for c in combinations(range(n), overlap(n, m, percent)):
-            out.append(xxhash.xxh3_64_intdigest(np.array([*sizes, *s[list(c)]], np.uint64).tobytes()))
+            out.append((xxhash.xxh3_64_intdigest(np.array([*sizes, *s[list(c)]], np.uint64).tobytes()), side))
     return out
 
 
@@ -196,7 +199,7 @@ class Joiner:
     # keys and postings
 
     def postings(self) -> tuple[DataFrame, DataFrame]:
-        """(h, node, n, pos) of prefixes, of n-grams that more than one class may have; (h, node) of subsets' keys."""
+        """(h, node, n, pos) of prefixes, of n-grams that more than one class may have; (h, node, side) of subsets' keys."""
         histogram = {r[0]: r[1] for r in self.nodes.groupBy(F.least("n", F.lit(4 * MOST_SMALL)).alias("n")).count().collect()}
         small = boundary(histogram, self.percent)
         large, percent, buckets, seed, words = first_large(small, self.percent), self.percent, self.buckets, self.seed, self.words
@@ -240,8 +243,8 @@ class Joiner:
                     i = np.uint64(len(docs))
                     docs.append((node, len(s)))
                     if len(s) <= small:
-                        k = np.array(subset_keys(s, small, percent), np.uint64)
-                        keys.append(np.stack([k, np.full(len(k), i), np.zeros(len(k), np.uint64)], axis=1))
+                        k = np.array(subset_keys(s, small, percent), np.uint64).reshape(-1, 2)
+                        keys.append(np.stack([k[:, 0], np.full(len(k), i), k[:, 1]], axis=1))
                         held += len(k)
                     if len(s) >= large:
                         p = len(s) - -(-percent * len(s) // 100) + 1
@@ -299,7 +302,7 @@ class Joiner:
         found = self.work.write(light.unionByName(common), "repeated")
         lists = found.join(own, "d").groupBy("h", "node").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
         lists = self.work.write(lists, "lists")
-        keys = packed.where("bucket = -3").select("block", "packed").mapInArrow(unpacked, shape).join(own, "d").select("h", "node").distinct()
+        keys = packed.where("bucket = -3").select("block", "packed").mapInArrow(unpacked, shape).join(own, "d").select("h", "node", F.col("pos").alias("side")).distinct()
         keys = self.work.write(keys, "keys")
         self.work.drop("postings", "repeated", "numbered")
         return lists, keys
@@ -355,9 +358,14 @@ class Joiner:
     def run(self) -> DataFrame:
         self.classes()
         lists, keys = self.postings()
-        # subsets: all classes of a key link with its least
-        heads = self.work.write(keys.groupBy("h").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c"), "key-heads")
-        stars = keys.join(heads, "h").where("node <> a").select("a", F.col("node").alias("b"))
+        # subsets: all classes of a key of equal sizes link with its least; of unequal sizes, each class links
+        # with all of the other size, but not always with those of its own
+        least = [F.min(F.when(F.col("side") == k, F.col("node"))).alias(f"a{k}") for k in range(3)]
+        heads = keys.groupBy("h").agg(*least, F.count("*").alias("c")).where("c > 1 and (a0 is not null or a1 is not null and a2 is not null)")
+        heads = self.work.write(heads.drop("c"), "key-heads")
+        other = F.when(F.col("side") == 0, F.col("a0")).when(F.col("side") == 1, F.col("a2")).otherwise(F.col("a1"))
+        stars = keys.join(heads, "h").withColumn("a", other).where("node <> a")
+        stars = stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         # lists: each class with the head that it meets in most lists
         # the head of a list is its class with the most company in all its lists: of near copies, what they were copied from
         counts = self.work.write(lists.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")

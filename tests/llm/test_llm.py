@@ -115,6 +115,28 @@ def test_jaccard_against_brute_force(spark):
     assert got == {i: (len(sets[i]), parent[i]) for i in range(len(texts))}
 
 
+def test_jaccard_of_small_hubs_against_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    texts = []
+    for size in [*[7, 8] * 25, *range(6, 13)]:  # most are so small that subsets are keys, and extensions link with their hub only
+        hub = [word() for _ in range(size)]
+        texts += [" ".join(hub), *(" ".join([*hub, word()] if j % 2 else [word(), *hub]) for j in range(6))]
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    parent = list(range(len(texts)))
+    old = None
+    while parent != old:
+        old = list(parent)
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, Workspace(spark, "t4h")).collect()}
+    assert got == {i: (len(sets[i]), parent[i]) for i in range(len(texts))}
+
+
 def test_lines(spark, docs):
     run = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(3))
     more = spark.createDataFrame([(10, f"own\n{run}\nend"), (11, f"{run}"), (12, f"a\n{run}\nb"), (13, run.split("\n")[0])], "doc_id long, text string")
