@@ -107,16 +107,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, mixed: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs as the mix takes them: once for each time taken, the last time in part if so.
+    """docs as the mix takes them: once for each time taken, always with the whole text.
 
-    A partial copy holds the first words that are taken, with the white space before them.
+    What the mix takes in part is taken whole, so a source's words exceed its target by less than one document.
     """
     m = mixed.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0").dropDuplicates(["__id", "__h"])
     joined = docs.join(m, docs[key].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__h")))
     copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))))
-    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1)), F.lit(1), left.cast("int")), "")
-    return copies.withColumn(text, F.when(left < F.col("__size"), cut).otherwise(F.col(text))).select(*[docs[c] if c != text else F.col(text) for c in docs.columns])
+    return copies.select(*[docs[c] for c in docs.columns])
 
 
 _W = ", ".join(f"WHEN {i} THEN {float(w)}" for i, w in enumerate(WEIGHTS)).replace(",", "")

@@ -162,6 +162,17 @@ def test_mix(spark, docs):
     assert mixing.mix(docs.limit(0), Workspace(spark, "t8e")).count() == 0
 
 
+def test_mixed_texts_are_whole(spark, docs):
+    mixed = mixing.mix(docs, w := Workspace(spark, "t8w"))
+    rows = w.write(mixed, "mixed").collect()
+    assert any(r.taken % r.size for r in rows if r.size)  # one is taken in part
+    got = [(r.doc_id, r.text) for r in mixing.mixed_texts(docs, w.write(mixed, "again")).collect()]
+    text = {i: x for i, x, _ in ROWS}
+    assert all(x == text[i] for i, x in got)
+    # all that is taken comes, once for each time begun
+    assert {i for i, _ in got} == {r.id for r in rows if r.taken} and len(got) == sum(-(-r.taken // r.size) for r in rows if r.taken)
+
+
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.01], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, None, 1), (6, [0.0, 0.0], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, 0.0], None), (9, [1.0, None], 1), (10, [1.0, 0.0, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
