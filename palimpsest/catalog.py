@@ -469,14 +469,10 @@ def compaction_stats(s, d):
     return writes.compaction_stats(sessions(s, d))
 
 
-def _sealed(s, d) -> DataFrame:
-    body = F.to_json(F.struct("n_name", "n_nationkey", "n_regionkey"))
-    return integrity.seal(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("seq"), body.alias("body")))
-
-
 @query()
 def chain_verify(s, d):
-    return integrity.verify(_sealed(s, d))
+    body = F.to_json(F.struct("event_type", "props", "ts", "user_id", "value"))
+    return integrity.verify_commits(*integrity.seal_commits(table(s, d, "events").select(F.col("event_id").alias("seq"), body.alias("body"))))
 
 
 def _pieces(s, d) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from palimpsest.functions.values import blake2b, digest
 
 GENESIS = "0" * 64
+#: Ops of a commit, at most.
+COMMIT_OPS = 512
 
 
 def seal(ops: DataFrame, prev: str = GENESIS) -> DataFrame:
@@ -44,6 +46,37 @@ def verify(sealed: DataFrame) -> DataFrame:
     return joined.select("seq", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
+def seal_commits(ops: DataFrame, size: int = COMMIT_OPS) -> tuple[DataFrame, DataFrame]:
+    """ops (seq, body) in commits of size numbers, sealed side by side; and the commits' last hashes, sealed as a chain."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, last = rows.sort_values("seq"), GENESIS
+        prevs, hashes = [], []
+        for body in rows["body"]:
+            prevs.append(last)
+            last = digest(last.encode() + body.encode())
+            hashes.append(last)
+        return rows.assign(prev_hash=prevs, hash=hashes)
+
+    own = ops.select(F.floor(F.col("seq") / size).cast("long").alias("commit"), "seq", "body")
+    sealed = own.groupBy("commit").applyInPandas(fold, "commit long, seq long, body string, prev_hash string, hash string")
+    return sealed, seal(sealed.groupBy("commit").agg(F.max_by("hash", "seq").alias("body")).withColumnRenamed("commit", "seq"))
+
+
+def verify_commits(sealed: DataFrame, heads: DataFrame, size: int = COMMIT_OPS) -> DataFrame:
+    """(seq, ok) of each op: in its commit's chain, which ends as the chain of commits says.  A commit without ops is one row, not ok."""
+    own = F.concat(F.col("prev_hash").cast("binary"), F.col("body").cast("binary"))
+    rows = sealed.select("commit", "seq", "prev_hash", "hash", blake2b(own).alias("again"))
+    before = sealed.select("commit", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("before"))
+    linked = (F.col("again") == F.col("hash")) & (F.col("prev_hash") == F.coalesce("before", F.lit(GENESIS)))
+    rows = rows.join(before, ["commit", "seq"], "left").select("commit", "seq", linked.alias("linked"))
+    ends = sealed.groupBy("commit").agg(F.max_by("hash", "seq").alias("end"))
+    named = heads.join(verify(heads), "seq").select(F.col("seq").alias("commit"), F.col("body").alias("root"), F.col("ok").alias("chained"))
+    commits = named.join(ends, "commit", "full").select("commit", (F.col("chained") & (F.col("root") == F.col("end"))).alias("whole"))
+    joined = rows.join(commits, "commit", "right")
+    return joined.select(F.coalesce("seq", F.col("commit") * size).alias("seq"), F.coalesce(F.col("linked") & F.col("whole"), F.lit(False)).alias("ok"))
+
+
 def tampered(sealed: DataFrame) -> DataFrame:
     return verify(sealed).where("not ok").select("seq")
 

@@ -78,6 +78,28 @@ def test_tampering_shows(spark):
     assert not integrity.proof_holds(proof | {"body": "x"}, head)
 
 
+def test_tampering_with_commits_shows(spark):
+    def bad(sealed, heads):
+        return sorted(r.seq for r in integrity.verify_commits(sealed, heads, 4).where("not ok").collect())
+
+    def sealed(change=None):
+        return integrity.seal_commits(spark.createDataFrame([(i, "x" if i == change else json.dumps({"v": i})) for i in range(10)], "seq long, body string"), 4)
+
+    ops, heads = sealed()
+    assert bad(ops, heads) == []
+    assert bad(ops.withColumn("body", F.when(F.col("seq") == 5, "x").otherwise(F.col("body"))), heads) == [5]
+    assert bad(sealed(5)[0], heads) == [4, 5, 6, 7]  # a commit that was sealed anew
+    assert bad(ops.where("seq <> 7"), heads) == [4, 5, 6] and bad(ops.where("commit <> 1"), heads) == [4]
+
+
+def test_chain_verify_is_over_the_events(spark):
+    from palimpsest import catalog
+
+    d = "/root/testdata/sf0.001"
+    got = catalog.chain_verify(spark, d)
+    assert got.where("ok").count() == got.count() == spark.read.parquet(f"{d}/events.parquet").count()
+
+
 def test_merkle():
     leaves = [integrity.digest(bytes([i])) for i in range(5)]
     root = integrity.merkle_root(leaves)
