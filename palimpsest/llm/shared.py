@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of an Arrow batch: a batch of long texts must fit in a Python worker beside its caches.
-ARROW_ROWS = 1000
-#: Bits of the filter of hits: 8 MB at most, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bytes of an Arrow batch: batches of long texts must fit in a Python worker beside its caches.
+ARROW_BYTES = 8 << 20
+ARROW_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bits of the filter of hits for each hit, and its bounds.  Beyond the upper one (32 MB) no filter is broadcast: all rows count as hits.
+BITS_A_HIT, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 BITMAP_BITS = 1 << 15
 
 
@@ -19,11 +21,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def integer_key(df: DataFrame, key: str) -> T.DataType:
+    """The type of an integer key column; others are an error."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{key} is {kind.simpleString()}; keys are integers here")
+    return kind
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in tests, where it is unset, a fresh one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master, where it may be unset, a fresh one.
+
+    Also bounds Arrow batches by bytes where the session sets no bound: smaller batches change no query's result.
+    """
+    if not spark.conf.get(ARROW_SETTING, None) or int(spark.conf.get(ARROW_SETTING)) > 1 << 30:
+        spark.conf.set(ARROW_SETTING, ARROW_BYTES)
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         at = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -43,18 +59,43 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(self.path(name))
+
+    def clear(self) -> None:
+        """Deletes all of it.  DataFrames that read from it no longer work."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is a projection or filter of files, whose partitions are the same each time they are read."""
+
+    def walk(plan) -> bool:
+        if plan.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation") or not plan.deterministic():
+            return False
+        below = plan.children()
+        return all(walk(below.apply(i)) for i in range(below.size()))
+
+    return walk(df._jdf.queryExecution().optimizedPlan())
 
 
 def flag_hits(rows: DataFrame, hits: DataFrame, column: str) -> DataFrame:
-    """rows with __hit: whether the column's value may be among those of hits; false is certain.
+    """rows with __hit: whether the column's value may be among those of hits, a written table; false is certain.
 
-    A hashed bit set of fixed size is broadcast, so no row moves.
+    A hashed bit set is broadcast, so no row moves.  Its size follows the number of hits; where they are so many that it
+    would pass its bound, all rows are flagged.  rows have no columns __map and __bit.
     """
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    size = LEAST_BITS
+    n = hits.count()
+    while size < BITS_A_HIT * n:
+        size *= 2
+    if size > MOST_BITS:
+        return rows.withColumn("__hit", F.lit(True))
+    bit = F.pmod(F.xxhash64(column), F.lit(size))
     place = {"__map": F.floor(bit / BITMAP_BITS).cast("int"), "__bit": (bit % BITMAP_BITS).cast("int")}
     maps = hits.withColumns(place).groupBy("__map").agg(F.bitmap_construct_agg(F.col("__bit").cast("long")).alias("__bits"))
     byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
@@ -64,7 +105,7 @@ def flag_hits(rows: DataFrame, hits: DataFrame, column: str) -> DataFrame:
 
 
 def only_hits(rows: DataFrame, hits: DataFrame, column: str = "digest") -> DataFrame:
-    """The rows whose value may be among hits."""
+    """The rows whose value may be among hits, a written table."""
     return flag_hits(rows, hits, column).where("__hit").drop("__hit")
 
 
