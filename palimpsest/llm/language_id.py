@@ -7,7 +7,6 @@ weighted by the bytes they hold, so every byte of every text counts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +23,11 @@ FILTERS = 12
 WIDEST = max(WIDTHS)
 #: Windows that go through the network at once: their activations stay in the cache.
 CHUNK = 128
-#: The bound of the training sample: this many documents of each language, those with the least hash.
-SAMPLE = 1500
-#: Training windows from each sampled document.
-CUTS = 3
+#: The bound of the training sample: this many windows of each language, out of all windows of all its texts.
+SAMPLE = 4500
+#: Every so manyth training window is cut short, for short texts.
+SHORT = 3
 EPOCHS = 8
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -133,9 +131,10 @@ class Model:
     def __init__(self, languages: list[str], net: ByteNet | None):
         self.languages, self.net = languages, net
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], lettered: list[bool | None]) -> tuple[list[str], list[float]]:
+        """Languages and scores; "und" where a text has no letter."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        rows = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.net else []
+        rows = [i for i, has in enumerate(lettered) if has] if self.net else []
         held, size = [], 0
         for i in rows:
             held.append(i)
@@ -153,34 +152,40 @@ class Model:
         return names, scores
 
 
-def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Trains on at most `sample` documents of each language, those with the least hash of key and text.
+def lettered(text: F.Column) -> F.Column:
+    """Whether a text has a letter (Unicode's categories L): training and prediction go by the same test."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
-    Rows with a null text or language, or without a letter, don't train.  Without a row, or with languages of
-    one value only, the model still works: the first answers "und" for all, the second that value.
+
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+    """Trains on at most `sample` windows of each language, those with the least hash of text and place.
+
+    A window of any place of any text can be taken; equal windows of equal texts count once.  Rows with a null text or
+    language, or without a letter, don't train.  Without a row, or with languages of one value only, the model still works:
+    the first answers "und" for all, the second that value.
     """
-    h = F.xxhash64(F.lit("lang"), key, text)
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang)).count().collect()}
+    rows = labelled.where(F.col(lang).isNotNull() & lettered(F.col(text))).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    n = F.ceil(F.length("t") / WINDOW).cast("int")
+    counts = {r[0]: r[1] for r in rows.groupBy("l").agg(F.sum(n)).collect()}  # a row a language
     if not counts:
         return Model([], None)
-    part = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * sample / n)))])
-    uniform = (F.pmod(h, F.lit(1 << 30)) / F.lit(1 << 30)).cast("double")
-    # of a sampled text, pieces from hashed places: a window is less than a text anyway
-    cut = [F.substring(F.col(text), F.pmod(F.xxhash64(F.lit(k), key, text), F.greatest(F.length(text) - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW)) for k in range(CUTS)]
-    got = rows.where(uniform < part[F.col(lang)]).select(h.alias("h"), F.col(lang).alias("l"), *[c.alias(f"c{k}") for k, c in enumerate(cut)]).collect()
-    languages, texts, classes, taken = sorted(counts), [], [], dict.fromkeys(counts, 0)
+    part = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * sample / c)))])
+    h = F.xxhash64(F.lit("lang"), "t")
+    uniform = lambda k: F.pmod(F.xxhash64("h", k), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    hashed = rows.select("l", "t", h.alias("h"), part[F.col("l")].alias("p"))
+    taken = hashed.select("l", "t", "h", F.explode(F.filter(F.sequence(F.lit(0), n - 1), lambda k: uniform(k) < F.col("p"))).alias("k"))
+    cut = F.substring("t", F.col("k") * WINDOW + 1, F.lit(WINDOW))
+    got = taken.select("l", uniform(F.col("k")).alias("u"), cut.alias("w")).distinct().collect()  # some 1.5 * sample a language
+    languages, texts, classes, seen = sorted(counts), [], [], dict.fromkeys(counts, 0)
     rng = np.random.default_rng(7)
-    for r in sorted(got, key=lambda r: (r["h"], r["c0"])):
-        taken[r["l"]] += 1
-        if taken[r["l"]] <= sample:
-            for k in range(CUTS):
-                piece = r[f"c{k}"].encode("utf-8", "replace")[:WINDOW]
-                if k == CUTS - 1:  # some short texts
-                    piece = piece[: int(rng.integers(12, WINDOW))]
-                if piece:
-                    texts.append(piece)
-                    classes.append(languages.index(r["l"]))
+    for r in sorted(got, key=lambda r: (r["u"], r["l"], r["w"])):
+        seen[r["l"]] += 1
+        if seen[r["l"]] <= sample:
+            piece = r["w"].encode("utf-8", "replace")[:WINDOW]
+            if seen[r["l"]] % SHORT == 0:
+                piece = piece[: int(rng.integers(12, WINDOW))]
+            texts.append(piece)
+            classes.append(languages.index(r["l"]))
     w, owner, _ = windows_of(texts)
     y = np.array(classes)
     share = np.bincount(y, minlength=len(languages))
@@ -192,22 +197,22 @@ def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: s
 def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, carry..., lang_pred, score) for each row.
 
-    "und" with score 0 where the text is null, empty or has no letter.  Null keys and repeated rows
-    come out as they went in.
+    "und" with score 0 where the text is null, empty or has no letter.  Long texts are cut into windows, all of which count.
+    Null keys and repeated rows come out as they went in; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     shipped = spark.sparkContext.broadcast(model)  # some 20 kB, whatever the input
+    columns = [key, *carry]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = shipped.value.predict(b.column(b.num_columns - 1).to_pylist())
-            kept = b.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            names, scores = shipped.value.predict(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    columns = [F.col(c) for c in (key, *carry)]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *carry))
-    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    rows = docs.select(F.col(text), lettered(F.col(text)), *[F.col(c) for c in columns])
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float, *, text: str = "text") -> DataFrame:
@@ -216,13 +221,15 @@ def keep_known(docs: DataFrame, model: Model, least: float, *, text: str = "text
     shared_dir(spark)
     shipped = spark.sparkContext.broadcast(model)
     place = docs.columns.index(text)
+    names_out = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = shipped.value.predict(b.column(place).to_pylist())
-            yield b.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            names, scores = shipped.value.predict(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist())
+            kept = pa.RecordBatch.from_arrays(b.columns[:-1], names=names_out)
+            yield kept.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select("*", lettered(F.col(text))).mapInArrow(run, docs.schema)
 
 
 def held_out(key: str = "doc_id") -> F.Column:
