@@ -3,14 +3,18 @@
 The library's own splitter dominates its time.  A text can be cut before any space that stands between
 two non-space characters: no match of the byte-level splitter crosses such a place, and what follows
 does not depend on what stood before.  So a text's ids are the ids of its first piece and of " " + piece
-for the others, and a two-generation memo of bounded size answers most of them.
+for the others, and a two-generation memo of bounded size answers most of them.  That holds for byte-level files
+without a normalizer; with any other file the library encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces of letters that every Unicode version knows as letters, digits, plain punctuation and single inner line ends.
@@ -19,7 +23,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r".,;:!?*$%&#|()\-"
 PLAIN = re.compile(rf"[{LETTERS}0-9{MARKS}]+(?:\n[{LETTERS}0-9{MARKS}]+)*\Z")
 RUNS = re.compile(rf"[{LETTERS}]+|[0-9]+|[{MARKS}]+|\n")
-MEMO_PIECES = 1_000_000
+#: Bounds of the memo: pieces, and characters of one.
+MEMO_PIECES, MEMO_CHARS = 1_000_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -30,7 +35,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Memo(dict):
-    """piece -> what make(piece) gave; beyond the bound the older generation goes."""
+    """piece -> what make(piece) gave; beyond the bound the older generation goes, and long pieces aren't held."""
 
     def __init__(self, make, bound: int = MEMO_PIECES):
         super().__init__()
@@ -40,11 +45,31 @@ class Memo(dict):
         found = self.old.get(piece)
         if found is None:
             found = self.make(piece)
+        self.hold(piece, found)
+        return found
+
+    def hold(self, piece: str, found) -> None:
+        if len(piece) > MEMO_CHARS:
+            return
         if len(self) >= self.bound:
             self.old = dict(self)
             self.clear()
         self[piece] = found
-        return found
+
+    def held(self, piece: str):
+        """What is held of a piece, else None."""
+        found = self.get(piece)
+        return self.old.get(piece) if found is None else found
+
+
+def is_plain(spec: dict) -> bool:
+    """Whether a tokenizers file splits as this module takes for granted, and no added token can stand in a plain piece."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    usual = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    added = [t["content"] for t in spec.get("added_tokens", [])]
+    apart = all(x.split() == [x] and not PLAIN.match(x) for x in added) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
+    return usual and bool(level) and apart and not spec.get("normalizer")
 
 
 class Bpe:
@@ -56,9 +81,15 @@ class Bpe:
     def __init__(self, path: str, counting: bool = False):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:  # a file of the library, on every machine
+            self.plain = is_plain(json.load(f))
         self.model = self.tokenizer.model
-        self.model._resize_cache(0)  # the memo stands in for it
+        if self.plain:
+            self.model._resize_cache(0)  # the memo stands in for it
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.counting = counting
         self.cat = sum if counting else b"".join
@@ -106,7 +137,9 @@ class Bpe:
             yield self.whole(piece, " " * (k > 0)) if found is None else found
 
     def encode(self, text: str):
-        """A whole text.  It may begin with a space that stood at a safe place."""
+        """A whole text.  With a plain file it may begin with a space that stood at a safe place."""
+        if not self.plain:
+            return self.by_library(text)
         first, *rest = text.split(" ")
         try:
             if first[-1:].isspace() or not first and text[1:2].isspace():
@@ -116,14 +149,69 @@ class Bpe:
         except TypeError:
             return self.cat(self.by_parts(text))
 
+    def lengths(self, keys: list[str]) -> list[int]:
+        return [len(x) for x in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Numbers of ids: the distinct pieces of all the texts that the memo doesn't hold are encoded as one batch.
+
+        Texts with runs of white space have other pieces, whose missing ones are a second batch.
+        """
+        if not self.plain:
+            return self.lengths(texts)
+        split = [t.split(" ") for t in texts]
+        out = self.summed(split)
+        ragged = [k for k, n in enumerate(out) if n is None]
+        if ragged:
+            for k, n in zip(ragged, self.summed([SAFE.split(texts[k]) for k in ragged], strict=False), strict=True):
+                out[k] = n
+        return out
+
+    def summed(self, split: list[list[str]], strict: bool = True) -> list[int | None]:
+        """For each list of pieces, its number of ids; None where, with strict, a piece depends on those around it."""
+        known, ask = {}, []
+        for w in set(chain.from_iterable(p[1:] for p in split)):
+            if strict and (not w or w[0].isspace() or w[-1].isspace()):
+                known[w] = -(1 << 60)
+            elif (n := self.memo.held(w)) is not None:
+                known[w] = n
+            else:
+                ask.append(w)
+        firsts = list({p[0] for p in split} - {""})
+        got = self.lengths([*(" " + w for w in ask), *firsts])
+        for w, n in zip(ask, got, strict=False):
+            known[w] = n
+            if not w[-1:].isspace():
+                self.memo.hold(w, n)
+        begins = dict(zip(firsts, got[len(ask) :], strict=True)) | {"": 0}
+        sums = [begins[p[0]] + sum(map(known.__getitem__, p[1:])) for p in split]
+        return [None if n < 0 or strict and p[0][-1:].isspace() else n for n, p in zip(sums, split, strict=True)]
+
+
+class Pieces:
+    """A sentencepiece model, with the interface of Bpe."""
+
+    def __init__(self, path: str, counting: bool = False):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.code, self.counting = "I", counting
+
+    def encode(self, text: str):
+        ids = self.model.encode(text)
+        return len(ids) if self.counting else array(self.code, ids).tobytes()
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.model.encode(texts, num_threads=1)]
+
 
-_LOADED: dict[tuple[str, bool], Bpe] = {}
+_LOADED: dict[tuple[str, bool], Bpe | Pieces] = {}
 
 
-def load(path: str, counting: bool = False) -> Bpe:
-    """One encoder, with its memo, for each Python worker and file."""
+def load(path: str, counting: bool = False) -> Bpe | Pieces:
+    """One encoder, with its memo, for each Python worker and file: sentencepiece for .model, tokenizers for others."""
     if (path, counting) not in _LOADED:
-        _LOADED[path, counting] = Bpe(path, counting)
+        _LOADED[path, counting] = (Pieces if path.endswith(".model") else Bpe)(path, counting)
     return _LOADED[path, counting]
 
 

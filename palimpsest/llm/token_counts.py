@@ -13,8 +13,8 @@ from palimpsest.llm.shared import read, shared_dir
 
 #: A long text is cut into parts of about this many characters, at the next safe place.
 PART_CHARS = 1 << 16
-#: Parts are encoded in batches of about this many characters.
-BATCH_CHARS = 1 << 20
+#: Parts are encoded in batches of about this many bytes.
+BATCH_BYTES = 1 << 20
 
 
 def parts(text: str, most: int = PART_CHARS) -> Iterator[str]:
@@ -32,13 +32,17 @@ def parts(text: str, most: int = PART_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def balanced(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Batches of (row, part) with about as many characters each, whatever the rows' lengths."""
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def balanced(texts: list[str], cut: bool = True, most: int = BATCH_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """Batches of (row, part) with about as many bytes each, whatever the rows' lengths; without cut a part is a whole text."""
     batch, held = [], 0
     for row, text in enumerate(texts):
-        for part in parts(text):
+        for part in parts(text) if cut else (text,):
             batch.append((row, part))
-            held += len(part)
+            held += n_bytes(part)
             if held >= most:
                 yield batch
                 batch, held = [], 0
@@ -46,11 +50,12 @@ def balanced(texts: list[str], most: int = BATCH_CHARS) -> Iterator[list[tuple[i
         yield batch
 
 
-def counted(encoder: bpe.Bpe, texts: list[str]) -> list[int]:
+def counted(encoder: bpe.Bpe | bpe.Pieces, texts: list[str]) -> list[int]:
+    """One batch call of the library for each balanced batch (two where texts have runs of white space)."""
     out = [0] * len(texts)
-    for batch in balanced(texts):
-        for row, part in batch:
-            out[row] += encoder.encode(part)
+    for batch in balanced(texts, getattr(encoder, "plain", False)):
+        for (row, _), n in zip(batch, encoder.counts([part for _, part in batch]), strict=True):
+            out[row] += n
     return out
 
 
@@ -58,8 +63,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
     """(key, n_bytes, n_tokens, over_limit) for each row of docs; other columns are left out.
 
     A null text counts as empty: 0 bytes, 0 tokens.  Null keys and repeated rows come out as they went
-    in; an empty table gives an empty result.  Long texts are cut at safe places, so counts are those of
-    whole texts.  tokenizer is the path of a tokenizers file, which every worker can read.
+    in; an empty table gives an empty result.  Long texts are cut at safe places where the file's splitter has any, so counts
+    are those of whole texts.  tokenizer is the path of a tokenizers (.json) or sentencepiece (.model) file, which every worker can read.
     """
     shared_dir(docs.sparkSession)
 
