@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe
-from palimpsest.llm.shared import Workspace, read
+from palimpsest.llm.shared import Workspace, integer_key, read
 
 MAGIC = b"PFR1"
 BLOCK = 1024
@@ -179,12 +179,13 @@ def opened(uri: str):
 
 
 def write_files(docs: DataFrame, tokenizer: str, work: Workspace, *, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes docs in ascending key order (nulls first, ties by text) and returns the manifest.
+    """Writes docs in ascending key order (integers; nulls first, ties by text) and returns the manifest.
 
     Manifest: (path, n_docs, n_ids, part), one row a file, itself a written table.  Each task
     attempt writes a file of a fresh name, and only files that a finished task reports are in the
     manifest, so lost or repeated attempts leave no trace in the data.
     """
+    integer_key(docs, key)  # the files have room for no others
     at = work.path("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +215,9 @@ def write_files(docs: DataFrame, tokenizer: str, work: Workspace, *, end_id: int
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of a manifest.
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of a manifest, a written table.
 
-    The running total is over files, one small row each.
+    The running total is over files, one small row each.  Each file is read by a task of its own.
     """
     total = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.withColumn("base", F.coalesce(total, F.lit(0)))
@@ -238,7 +239,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
     def batch(out: dict[str, list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({n: pa.array(x, pa.int64()) for n, x in out.items()})
 
-    spread = files.select("path", "base").repartition("path")
+    spread = files.select("path", "base").repartition(max(1, manifest.count()))  # a given number isn't coalesced
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
