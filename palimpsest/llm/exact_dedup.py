@@ -60,16 +60,15 @@ class LsmIndex:
 
 
 def dedup(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
-    """(key, keep_id, group_size, kept, text_sha256) for each row; other columns are left out.
+    """(key, keep_id, group_size, kept, text_sha256) for each row; other columns are left out.  Keys are of any ordered type.
 
-    Texts are equal when identical after lower-casing A-Z only; null counts as empty.  Of equal texts
+    Texts are equal when identical after lower-casing A-Z only; null counts as empty; long ones are hashed and compared whole.  Of equal texts
     the row with the smallest (or largest) key stays.  Repeated rows count each in group_size and share
     the decision of their key.  Null keys stay only where a group has no other.  An empty table gives an empty
     result.
     """
-    kind = docs.schema[key].dataType
     t = normalised(F.col(text))
-    rows = docs.select(F.col(key).cast("long").alias("id"), t.alias("t")).withColumn("digest", F.unhex(F.sha2("t", 256)))
+    rows = docs.select(F.col(key).alias("id"), t.alias("t")).withColumn("digest", F.unhex(F.sha2("t", 256)))
     index = LsmIndex(work, keep)
     digests = work.write(rows.select("digest", "id"), "digests")
     index.flush(digests)
@@ -88,7 +87,7 @@ def dedup(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str =
     work.drop("texts", "stay")
 
     def out(keep_id: Column, n: Column) -> list[Column]:
-        return [F.col("id").cast(kind).alias(key), keep_id.cast(kind).alias("keep_id"), n.alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
+        return [F.col("id").alias(key), keep_id.alias("keep_id"), n.alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
 
     if odd.isEmpty():
         entry = entries.select("digest", F.col("id").alias("keep"), "n")
