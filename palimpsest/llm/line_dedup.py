@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.mixing import words
 from palimpsest.llm.shared import Workspace, flag_hits, read
@@ -20,9 +21,13 @@ from palimpsest.llm.shared import Workspace, flag_hits, read
 MIN_WORDS = 50
 
 
-def doc_key(key: str, text: str) -> list[Column]:
-    """A document is its key and text: rows that repeat both are one document."""
-    return [F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("h")]
+def doc_key(docs: DataFrame, key: str, text: str) -> list[Column]:
+    """A document is its key and text: rows that repeat both are one document.  Null keys are least, of any type."""
+    if isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    else:
+        doc = F.coalesce(F.concat(F.lit("1"), F.col(key).cast("string")), F.lit("0"))
+    return [doc.alias("doc"), F.xxhash64(text).alias("h")]
 
 
 def later_copies(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -30,8 +35,8 @@ def later_copies(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text:
 
     Documents are in the order of their keys (null first; then a hash of the text), lines in theirs.
     """
-    line = F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")
-    lines = docs.where(F.col(text).isNotNull()).select(*doc_key(key, text), F.col(text)).select("doc", "h", line)
+    line = F.posexplode(F.split("t", "\n")).alias("pos", "line")
+    lines = docs.where(F.col(text).isNotNull()).select(*doc_key(docs, key, text), F.col(text).alias("t")).select("doc", "h", line)
     ids = lines.select("doc", "h", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("2"), "line").alias("b"), words(F.col("line")).alias("n"))
     ids = work.write(ids.distinct(), "lines")
     # line identifiers: ranks of the lines that occur more than once
@@ -94,31 +99,40 @@ def later_copies(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text:
     return work.write(gone.groupBy("doc", "h").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "gone")
 
 
+def without(text: Column, gone: Column) -> Column:
+    """text without the lines at the ascending positions gone: what lies between them is cut out in whole stretches."""
+
+    def kept(lines: Column) -> Column:
+        n = F.size(lines)
+        between = F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(n)), lambda p, q: F.struct((p + 2).alias("at"), (q - p - 1).alias("n")))
+        return F.array_join(F.flatten(F.transform(F.filter(between, lambda s: s["n"] > 0), lambda s: F.slice(lines, s["at"], s["n"]))), "\n")
+
+    return F.transform(F.array(F.split(text, "\n")), kept)[0]  # a lambda's variable is worked out once
+
+
 def dedup_lines(docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text without its later copies, and __lines, __gone and __left: lines before, lines that went, and whether any is left.
 
     A run of whole lines goes where it has min_words words ([^ \\t-\\r]+) and occurs before, in the order
     of (key, line); overlapping occurrences count.  A null text stays null with 0 lines, and an empty one has one empty line; both
-    are left.  Null keys come first.  Rows that repeat key and text are one document and change alike.
+    are left.  Null keys come first; keys that aren't integers are in the order of their strings.  Rows that repeat key and text
+    are one document and change alike.  Columns of docs named as the three are replaced; other names may be any.
     """
     gone = later_copies(docs, work, key=key, text=text, min_words=min_words)
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("h").alias("__h"), F.col("gone").alias("__at"))
-    doc, h = doc_key(key, text)
-    rows = docs.withColumns({"__d": doc, "__t": h}).withColumn("__k", F.xxhash64("__d", "__t"))
+    gone = gone.select(F.col("doc").alias("other"), F.col("h").alias("g"), F.col("gone").alias("at"))
+    made = ("__lines", "__gone", "__left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in made]).alias("row")
+    rows = docs.select(row, *doc_key(docs, key, text)).withColumn("k", F.xxhash64("doc", "h"))
     # only documents that may lose lines meet their lines' positions; the others' texts stay where they are
-    rows = flag_hits(rows, gone.select(F.xxhash64("__doc", "__h").alias("__k")), "__k")
-    changed = rows.where("__hit").join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__h")), "left")
-    joined = changed.drop("__doc", "__h").unionByName(rows.where("not __hit").withColumn("__at", F.lit(None).cast("array<int>")))
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__at"), i))
-    out = joined.withColumns({
-        "__lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "__gone": F.coalesce(F.size("__at"), F.lit(0)).cast("long"),
-        text: F.when(F.col("__at").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
-    })
-    out = out.withColumn("__gone", F.greatest(F.col("__gone"), F.lit(0).cast("long")))
-    out = out.withColumn("__left", (F.col("__gone") == 0) | (F.col("__gone") < F.col("__lines")))
-    return out.drop("__d", "__t", "__k", "__hit", "__at")
+    rows = flag_hits(rows, gone.select(F.xxhash64("other", "g").alias("k")), "k")
+    changed = rows.where("__hit").join(gone, (F.col("doc") == F.col("other")) & (F.col("h") == F.col("g")), "left").select("row", "at")
+    joined = changed.unionByName(rows.where("not __hit").select("row", F.lit(None).cast("array<int>").alias("at")))
+    own = F.col(f"row.`{text}`")
+    lines = F.when(own.isNull(), 0).otherwise(F.size(F.split(own, "\n"))).cast("long")
+    went = F.greatest(F.coalesce(F.size("at"), F.lit(0)), F.lit(0)).cast("long")
+    left = F.when(F.col("at").isNull(), own).otherwise(without(own, F.col("at")))
+    out = [left.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made]
+    return joined.select(*out, lines.alias("__lines"), went.alias("__gone"), ((went == 0) | (went < lines)).alias("__left"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
