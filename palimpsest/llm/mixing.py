@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, read
+from palimpsest.llm.shared import Workspace, only_hits, read
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -106,15 +106,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-def mixed_texts(docs: DataFrame, mixed: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed_texts(docs: DataFrame, mixed: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs as the mix takes them: once for each time taken, always with the whole text.
 
-    What the mix takes in part is taken whole, so a source's words exceed its target by less than one document.
+    What the mix takes in part is taken whole, so a source's words exceed its target by less than one document.  Rows
+    that repeat key and text share the times of all of them: each comes as often as all can, and what is left over
+    comes from the row that is least by a hash of all its columns.
     """
-    m = mixed.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0").dropDuplicates(["__id", "__h"])
-    joined = docs.join(m, docs[key].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__h")))
-    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))))
-    return copies.select(*[docs[c] for c in docs.columns])
+    times = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
+    m = mixed.groupBy("id", "h").agg(F.sum(times).cast("long").alias("times"), F.count("*").alias("n")).where("times > 0")
+    m = m.select("id", "h", F.floor(F.col("times") / F.col("n")).alias("each"), (F.col("times") % F.col("n")).alias("over"))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    m = work.write(m.withColumnsRenamed({"id": "i", "h": "g"}), "mix-times")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))
+    met = rows.join(m.where("each > 0"), same)
+    out = met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("each"))).alias("copy"))
+    over = m.where("over > 0")
+    if not over.isEmpty():  # only rows that are repeated leave any over
+        few = only_hits(rows.withColumn("k", F.xxhash64("id", "h")), over.select(F.xxhash64("i", "g").alias("k")), "k").join(over, same)
+        first = few.groupBy("i", "g").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"), F.first("over").alias("over"))
+        out = out.union(first.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("over"))).alias("copy")))
+    return out.select("row.*")
 
 
 _W = ", ".join(f"WHEN {i} THEN {float(w)}" for i, w in enumerate(WEIGHTS)).replace(",", "")
