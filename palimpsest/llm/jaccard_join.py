@@ -23,18 +23,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.shared import Workspace, components, only_hits, read, shared_dir
-from palimpsest.llm.word_bpe import planes, spread_out, squeezed, unplanes
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Characters of text for each bucket of n-grams.
-BUCKET_CHARS = 8_000_000
 #: The most frequent n-grams whose order is broadcast: at most this many, with counts from this one on.
 HEAVY, HEAVY_FROM = 1 << 17, 32
-#: N-grams that a task packs at once.
-FLUSH = 2_000_000
+#: N-grams that a task counts, and postings that it emits, at once.
+FLUSH, EMIT = 2_000_000, 200_000
+#: Classes of a list that meet in one cell when pairs are formed.
+CELL = 256
 #: Sets beyond this size are never small: their subsets are too many.
 MOST_SMALL = 12
+#: The side of what isn't a subset's key but a posting.
+LIST = 3
 #: What a posting costs against a subset's key: it is packed, sorted, and may lead to pairs.
 POSTING_COST = 4.0
 
@@ -116,12 +117,11 @@ def first_large(small: int, percent: int) -> int:
 
 
 class Joiner:
-    def __init__(self, docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75):
-        self.spark, self.work, self.words, self.percent = docs.sparkSession, work, words, percent
+    def __init__(self, docs: DataFrame, work: Workspace, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, small: int | None = None):
+        self.spark, self.work, self.words, self.percent, self.small = docs.sparkSession, work, words, percent, small
         shared_dir(self.spark)
-        self.kind = docs.schema[key].dataType
-        self.docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"))
-        self.buckets = max(32, -(-(self.docs.agg(F.sum(F.length("t"))).first()[0] or 0) // BUCKET_CHARS))
+        self.kind = docs.schema[key].dataType.simpleString()
+        self.docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("t"))
         self.seed = 0
 
     # the order of n-grams
@@ -129,19 +129,23 @@ class Joiner:
     def heavy(self) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent n-grams by the upper halves of their hashes (sorted), and their ranks: 1 is the rarest of them.
 
-        Counts are over all documents.  Any total order gives right results; this one keeps frequent
-        n-grams out of prefixes.
+        Each task reads all its documents and keeps a Misra-Gries summary of HEAVY counters: an n-gram's count falls short by less than
+        the task's n-grams / HEAVY, and a task sends HEAVY rows at most, whatever it read.  Any total order gives
+        right results; this one keeps frequent n-grams out of prefixes.
         """
-        buckets, words = self.buckets, self.words
+        words = self.words
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             held, n = [], 0
 
-            def flush() -> pa.RecordBatch:
-                x = np.sort(np.concatenate(held))
-                cuts = np.searchsorted(x, (np.arange(1, buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
-                groups = [(b, g) for b, g in enumerate(np.split(x, cuts)) if len(g)]
-                return pa.RecordBatch.from_arrays([pa.array([b for b, _ in groups], pa.int64()), pa.array([squeezed(planes(np.diff(g, prepend=np.uint64(0)))) for _, g in groups], pa.binary())], names=["bucket", "packed"])
+            def summary() -> tuple[np.ndarray, np.ndarray]:
+                new, times = np.unique(np.concatenate(held), return_counts=True)
+                all_, at = np.unique(np.concatenate([x, new]), return_inverse=True)
+                total = np.bincount(at, np.concatenate([c, times])).astype(np.int64)
+                if len(all_) > HEAVY:
+                    total -= np.partition(total, len(total) - HEAVY - 1)[len(total) - HEAVY - 1]
+                return all_[total > 0], total[total > 0]
 
             for b in batches:
                 for t in b.column(0).to_pylist():
@@ -149,17 +153,13 @@ class Joiner:
                         held.append(s >> np.uint64(32))
                         n += len(s)
                     if n >= FLUSH:
-                        yield flush()
+                        x, c = summary()
                         held, n = [], 0
             if held:
-                yield flush()
-
-        def frequent(table: pa.Table) -> pa.Table:
-            all_ = np.concatenate([np.cumsum(unplanes(spread_out(p)[0]).astype(np.int64)) for p in table.column("packed").to_pylist()])
-            x, c = np.unique(all_, return_counts=True)
-            return pa.table({"x": pa.array(x[c >= HEAVY_FROM], pa.int64()), "c": pa.array(c[c >= HEAVY_FROM], pa.int64())})
+                x, c = summary()
+            yield from pa.table({"x": pa.array(x.astype(np.int64)), "c": pa.array(c)}).to_batches(20_000)
 
-        found = self.docs.select("t").mapInArrow(count, "bucket long, packed binary").groupBy("bucket").applyInArrow(frequent, "x long, c long")
+        found = self.docs.select("t").mapInArrow(count, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_FROM)
         found = self.work.write(found, "frequent")
         step = F.floor(F.log2("c") * 16)
         least, n = 0, 0
@@ -189,7 +189,7 @@ class Joiner:
             return info
 
         while True:
-            self.info = self.work.write(self.docs.mapInArrow(make(self.seed), "doc long, n long, node long, other long, sig binary"), f"info-{self.seed}")
+            self.info = self.work.write(self.docs.mapInArrow(make(self.seed), f"doc {self.kind}, n long, node long, other long, sig binary"), f"info-{self.seed}")
             grouped = self.info.where("node is not null").groupBy("node", "n")
             self.nodes = self.work.write(grouped.agg(F.min("doc").alias("rep"), F.min("sig").alias("sig"), F.min("other").alias("o"), F.max("other").alias("p")), f"nodes-{self.seed}")
             if self.nodes.where("o <> p").isEmpty():  # else two sets share 64 bits: hash them anew
@@ -201,110 +201,58 @@ class Joiner:
     def postings(self) -> tuple[DataFrame, DataFrame]:
         """(h, node, n, pos) of prefixes, of n-grams that more than one class may have; (h, node, side) of subsets' keys."""
         histogram = {r[0]: r[1] for r in self.nodes.groupBy(F.least("n", F.lit(4 * MOST_SMALL)).alias("n")).count().collect()}
-        small = boundary(histogram, self.percent)
-        large, percent, buckets, seed, words = first_large(small, self.percent), self.percent, self.buckets, self.seed, self.words
+        small = boundary(histogram, self.percent) if self.small is None else self.small
+        large, percent, seed, words = first_large(small, self.percent), self.percent, self.seed, self.words
         shipped = self.spark.sparkContext.broadcast(self.heavy())
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
             fps, ranks = shipped.value
-            block, seen = TaskContext.get().partitionId(), set()
-            docs: list[tuple[int, int]] = []
-            light: list[np.ndarray] = []
-            common: list[np.ndarray] = []
-            keys: list[np.ndarray] = []
-            held = 0
-
-            def flush(number: int) -> pa.RecordBatch:
-                own = np.array(docs, np.int64).reshape(-1, 2)
-                rows = [(number, -1, squeezed(own[:, 0].copy(), own[:, 1].copy()))]
-                for b, kept in ((-2, common), (-3, keys)):
-                    if kept:
-                        x = np.concatenate(kept)
-                        rows.append((number, b, squeezed(x[:, 0].copy(), x[:, 1].copy(), x[:, 2].copy())))
-                if light:
-                    x = np.concatenate(light)
-                    x = x[np.argsort(x[:, 0], kind="stable")]
-                    cuts = np.searchsorted(x[:, 0], (np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)))
-                    for b, g in enumerate(np.split(x, cuts)):
-                        if len(g):
-                            h = g[:, 0].copy()
-                            rows.append((number, b, squeezed(np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8).T), planes(g[:, 1]), planes(g[:, 2]))))
-                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))], names=["block", "bucket", "packed"])
-
-            number = block << 24
+            seen: set[int] = set()
+            held: list[np.ndarray] = []
+            n = 0
+
+            def flushed() -> Iterator[pa.RecordBatch]:
+                x = np.concatenate(held, axis=1)
+                columns = (pa.array(x[0].view(np.int64)), pa.array(x[1].view(np.int64)), pa.array(x[2].astype(np.int32)), pa.array(x[3].astype(np.int32)), pa.array(x[4].astype(np.int32)))
+                yield from pa.Table.from_arrays(list(columns), names=["h", "node", "n", "pos", "side"]).to_batches(20_000)
+
+            def add(h: np.ndarray, node: int, size: int, pos: np.ndarray, side: np.ndarray) -> None:
+                rows = np.empty((5, len(h)), np.uint64)
+                rows[0], rows[1], rows[2], rows[3], rows[4] = h, np.int64(node).view(np.uint64), size, pos, side
+                held.append(rows)
+
             for b in batches:
                 for t in b.column(0).to_pylist():
                     s = shingles(t, words)
                     if not len(s) or (node := node_of(s, seed)) in seen:
                         continue
                     seen.add(node)
-                    i = np.uint64(len(docs))
-                    docs.append((node, len(s)))
                     if len(s) <= small:
                         k = np.array(subset_keys(s, small, percent), np.uint64).reshape(-1, 2)
-                        keys.append(np.stack([k[:, 0], np.full(len(k), i), k[:, 1]], axis=1))
-                        held += len(k)
+                        add(k[:, 0], node, len(s), np.zeros(len(k)), k[:, 1])
+                        n += len(k)
                     if len(s) >= large:
                         p = len(s) - -(-percent * len(s) // 100) + 1
                         fp = s >> np.uint64(32)
                         at = np.minimum(np.searchsorted(fps, fp), max(len(fps) - 1, 0))
                         rank = np.where(fps[at] == fp, ranks[at], 0) if len(fps) else np.zeros(len(s), np.int64)
                         order = np.argsort(rank, kind="stable")[:p]  # s is sorted: ties by hash
-                        x = np.stack([s[order], np.full(p, i), np.arange(p, dtype=np.uint64)], axis=1)
-                        is_heavy = rank[order] > 0
-                        light.append(x[~is_heavy])
-                        if is_heavy.any():
-                            common.append(x[is_heavy])
-                        held += p
-                    if held >= FLUSH:
-                        yield flush(number)
-                        number, held, docs, light, common, keys = number + 1, 0, [], [], [], []
-            if docs:
-                yield flush(number)
-
-        packed = self.work.write(self.docs.select("t").mapInArrow(emit, "block long, bucket long, packed binary"), "postings")
-        shape = "h long, d long, pos int"
-
-        def as_table(h: np.ndarray, d: np.ndarray, pos: np.ndarray) -> pa.Table:
-            return pa.table({"h": pa.array(h.view(np.int64), pa.int64()), "d": pa.array(d.astype(np.int64), pa.int64()), "pos": pa.array(pos.astype(np.int32), pa.int32())})
-
-        def repeated(table: pa.Table) -> pa.Table:
-            """Of a bucket, the postings of n-grams with more than one."""
-            hs, ds, ps = [], [], []
-            for block, data in zip(table.column("block").to_pylist(), table.column("packed").to_pylist(), strict=True):
-                h, i, p = spread_out(data)
-                hs.append(np.ascontiguousarray(np.frombuffer(h, np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
-                ds.append((block << 24) + unplanes(i).astype(np.int64))
-                ps.append(unplanes(p))
-            h, d, p = map(np.concatenate, (hs, ds, ps))
-            _, at, n = np.unique(h, return_inverse=True, return_counts=True)
-            more = n[at] > 1
-            return as_table(h[more], d[more], p[more])
-
-        def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    h, i, p = (np.frombuffer(x, np.uint64) for x in spread_out(data))
-                    yield from as_table(h, (block << 24) + i.astype(np.int64), p).to_batches(20_000)
+                        add(s[order], node, len(s), np.arange(p), np.full(p, LIST))
+                        n += p
+                    if n >= EMIT:
+                        yield from flushed()
+                        held, n = [], 0
+            if held:
+                yield from flushed()
 
-        def table_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    node, n = (np.frombuffer(x, np.int64) for x in spread_out(data))
-                    yield from pa.table({"d": (block << 24) + np.arange(len(node)), "node": node, "n": n}).to_batches(20_000)
-
-        own = packed.where("bucket = -1").select("block", "packed").mapInArrow(table_of, "d long, node long, n long")
-        own = self.work.write(own, "numbered")
-        light = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(repeated, shape)
-        common = packed.where("bucket = -2").select("block", "packed").mapInArrow(unpacked, shape)
-        found = self.work.write(light.unionByName(common), "repeated")
-        lists = found.join(own, "d").groupBy("h", "node").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+        all_ = self.work.write(self.docs.select("t").mapInArrow(emit, "h long, node long, n int, pos int, side int"), "postings")
+        listed = all_.where(F.col("side") == LIST)
+        # counted where they are before they travel; what only one task's class has goes no further
+        more = self.work.write(listed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated")
+        lists = only_hits(listed, more, "h").join(more, "h").groupBy("h", "node").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
         lists = self.work.write(lists, "lists")
-        keys = packed.where("bucket = -3").select("block", "packed").mapInArrow(unpacked, shape).join(own, "d").select("h", "node", F.col("pos").alias("side")).distinct()
-        keys = self.work.write(keys, "keys")
-        self.work.drop("postings", "repeated", "numbered")
+        keys = self.work.write(all_.where(F.col("side") != LIST).select("h", "node", "side").distinct(), "keys")
+        self.work.drop("postings", "repeated")
         return lists, keys
 
     def possible(self, n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -384,9 +332,14 @@ class Joiner:
         mixed = placed.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
         left = self.work.write(placed.join(mixed, "h"), "left")
         self.work.drop("placed", "lists")
-        a, b = (left.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "component")]) for x in "ab")
+        # a long list is cut into cells of its classes on both sides
+        long_ = self.work.write(left.groupBy("h").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")), "long")
+        left = left.join(long_, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+        sides = {"a": ["h", F.col("own").alias("i"), other.alias("j")], "b": ["h", other.alias("i"), F.col("own").alias("j")]}
+        a, b = (left.select(*sides[x], *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "component")]) for x in "ab")
         across = (F.col("component_a") < F.col("component_b")) & self.possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
-        pairs = a.join(b, "h").where(across).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        pairs = a.join(b, ["h", "i", "j"]).where(across).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
         pairs = self.work.write(pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
         links = links.union(self.verified(pairs, "second"))
         # components by documents' ids
@@ -399,14 +352,15 @@ class Joiner:
 
 
 def jaccard_components(docs: DataFrame, work: Workspace, *, key: str = "doc_id", **more) -> DataFrame:
-    """(key, n_shingles, component_id) for each row of docs.
+    """(key, n_shingles, component_id) for each row of docs; other columns are left out.  Keys are of any ordered type.
 
-    Texts without words, and null ones, have empty sets and link with nothing.  Rows that repeat a key
-    are documents each.  Null keys have no part in a component's id; a component of null keys only has a null id.
-    An empty table gives an empty result.
+    Texts without words, and null ones, have empty sets and link with nothing; long ones are read whole.  Rows that repeat a key
+    are documents each.  Null keys have no part in a component's id, and texts that only null keys have link with no others:
+    their component_id is null.  An empty table gives an empty result.  small: the size up to which sets are small, in place of
+    the one of least cost.
     """
     j = Joiner(docs, work, key=key, **more)
-    return j.run().select(F.col("doc").cast(j.kind).alias(key), F.col("n").alias("n_shingles"), F.col("component").cast(j.kind).alias("component_id"))
+    return j.run().select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
