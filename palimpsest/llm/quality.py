@@ -120,13 +120,14 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """labels: (key, good) with good 0 or 1; rows with nulls don't train, repeated labels are averaged and rounded.
+    """labels: (key, good) with good 0 or 1; rows with nulls don't train, repeated labels are averaged and rounded (a tie is good).
 
-    Without labels the model gives even odds to all.
+    Of rows that repeat a labelled key the one with the least text trains.  Without labels the model gives even odds to all.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col("good").isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.round(F.avg("good")).alias("__good"))
+    known = labels.where(F.col(key).isNotNull() & F.col("good").isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.floor(F.avg("good") + 0.5).cast("double").alias("__good"))
     picked = known.orderBy(F.xxhash64(F.lit("quality"), "__id"), "__id").limit(sample)  # fixed size: can be broadcast
     found = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(picked), "__id").where("__text is not null")
+    found = found.groupBy("__id").agg(F.min("__text").alias("__text"), F.first("__good").alias("__good"))  # sample rows at most, whatever repeats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,8 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 def posteriors(docs: DataFrame, model: Model, work: Workspace, *, key: str = "doc_id", text: str = "text", host: str = "host", path: str = "path") -> DataFrame:
     """(key, evidence, host_rate, path_rate, score, kept) for each row.
 
-    score is the posterior that a document is good, kept is score >= 0.5.  A null or empty text has the
-    evidence of an empty one.  Null hosts and paths are a host, and a path, of their own.  Null keys and
+    score is the posterior that a document is good, kept is score >= 0.5 (a tie is kept).  A null or empty text has the
+    evidence of an empty one; long texts are read whole.  Null hosts and paths are a host, and a path, of their own.  Null keys and
     repeated rows come out as they went in; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -188,6 +189,16 @@ def posteriors(docs: DataFrame, model: Model, work: Workspace, *, key: str = "do
     return out.select(F.col("id").alias(key), F.col("p").alias("evidence"), "host_rate", F.col("rate").alias("path_rate"), "score", (F.col("score") >= 0.5).alias("kept"))
 
 
+def sites(pages: DataFrame, url: str = "url") -> DataFrame:
+    """pages with host and path from a URL: the host without www, and the first part of the path; null where a URL has none.
+
+    Columns of these names are replaced.
+    """
+    host = F.regexp_replace(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), r"^www\.", "")
+    first = F.regexp_extract(F.try_parse_url(F.col(url), F.lit("PATH")), r"^/[^/]*", 0)
+    return pages.withColumns({"host": host, "path": F.when(first != "", first)})
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good is a quality label of 1 and no toxic one; hosts are the sources of documents, paths their languages."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
