@@ -42,7 +42,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row for each time."""
     mixed = mixing.mix(docs, work := Workspace(spark, "stage8"), weights=mixing.labelled_weights(spark, sf_dir))
-    return mixing.mixed_texts(docs, work.write(mixed, "mixed"))
+    return mixing.mixed_texts(docs, work.write(mixed, "mixed"), work)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, work = read(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = work.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            work.drop(f"{k - 1}-{STAGES[k - 1][0]}")  # read for the last time
     return docs
