@@ -49,10 +49,11 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: fl
     after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
-    # level if exactly the sources before this one are capped; it holds for the first that isn't above its cap then
+    # level if exactly the sources before this one are capped; it holds for the first that isn't above its cap then,
+    # and is less for those after it
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(after))
     s = s.withColumn("fits", F.col("level") * F.col("w") <= F.col("most"))
-    s = s.withColumn("level", F.min_by("level", F.when(F.col("fits"), F.col("most") / F.col("w"))).over(everything))
+    s = s.withColumn("level", F.max(F.when(F.col("fits"), F.col("level"))).over(everything))
     got = F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("level") * F.col("w")))
     return s.select("source", "source_size", got.alias("target"))
 
@@ -142,7 +143,7 @@ o AS (SELECT *, (CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) %
              source_size * {CAP}::DOUBLE AS most, sum(source_size) OVER () * {SHARE}::DOUBLE AS total FROM s),
 r AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY most / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
-v AS (SELECT arg_min(level, most / w) AS level FROM r WHERE level * w <= most),
+v AS (SELECT max(level) AS level FROM r WHERE level * w <= most),
 t AS (SELECT source, source_size, CASE WHEN v.level IS NULL THEN most ELSE least(most, v.level * w) END AS target FROM r, v),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
 c AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs,
