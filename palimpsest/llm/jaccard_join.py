@@ -129,23 +129,17 @@ class Joiner:
     def heavy(self) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent n-grams by the upper halves of their hashes (sorted), and their ranks: 1 is the rarest of them.
 
-        Each task reads all its documents and keeps a Misra-Gries summary of HEAVY counters: an n-gram's count falls short by less than
-        the task's n-grams / HEAVY, and a task sends HEAVY rows at most, whatever it read.  Any total order gives
-        right results; this one keeps frequent n-grams out of prefixes.
+        Counts are exact and over all documents: a task adds up FLUSH n-grams at a time and sends (n-gram, count) rows, which are summed
+        before and after they travel.  Any total order gives right results; this one keeps frequent n-grams out of prefixes.
         """
         words = self.words
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             held, n = [], 0
 
-            def summary() -> tuple[np.ndarray, np.ndarray]:
-                new, times = np.unique(np.concatenate(held), return_counts=True)
-                all_, at = np.unique(np.concatenate([x, new]), return_inverse=True)
-                total = np.bincount(at, np.concatenate([c, times])).astype(np.int64)
-                if len(all_) > HEAVY:
-                    total -= np.partition(total, len(total) - HEAVY - 1)[len(total) - HEAVY - 1]
-                return all_[total > 0], total[total > 0]
+            def flushed() -> Iterator[pa.RecordBatch]:
+                x, c = np.unique(np.concatenate(held), return_counts=True)
+                yield from pa.table({"x": pa.array(x.astype(np.int64)), "c": pa.array(c.astype(np.int64))}).to_batches(50_000)
 
             for b in batches:
                 for t in b.column(0).to_pylist():
@@ -153,11 +147,10 @@ class Joiner:
                         held.append(s >> np.uint64(32))
                         n += len(s)
                     if n >= FLUSH:
-                        x, c = summary()
+                        yield from flushed()
                         held, n = [], 0
             if held:
-                x, c = summary()
-            yield from pa.table({"x": pa.array(x.astype(np.int64)), "c": pa.array(c)}).to_batches(20_000)
+                yield from flushed()
 
         found = self.docs.select("t").mapInArrow(count, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_FROM)
         found = self.work.write(found, "frequent")
