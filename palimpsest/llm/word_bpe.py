@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from palimpsest.llm.shared import Workspace, is_scan, read
 from palimpsest.llm.token_counts import parts
 
 #: Characters of a block, beyond which no document is added to it.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 48_000_000
 #: Rows of a batch of words.
 WORD_ROWS = 20_000
 
@@ -126,13 +125,15 @@ class Block:
         with pa.ipc.new_stream(sink, keys.schema) as to:
             to.write_batch(keys)
         at = np.concatenate(self.at) if self.at else np.zeros(0, np.uint32)
-        sums = np.fromiter(map(zlib.crc32, self.raw()), np.uint64, len(self.words))
-        return squeezed(sink.getvalue().to_pybytes(), np.array(self.sizes, "<u8"), planes(at), checksum(sums).tobytes())
+        return squeezed(sink.getvalue().to_pybytes(), np.array(self.sizes, "<u8"), planes(at), self.digest())
 
-
-def checksum(sums: np.ndarray) -> np.ndarray:
-    """Of words' checksums in the order of their numbers."""
-    return (sums.astype(np.uint64) * np.arange(1, len(sums) + 1, dtype=np.uint64)).sum(keepdims=True, dtype=np.uint64)
+    def digest(self) -> bytes:
+        """Of the words, in the order of their numbers."""
+        found = hashlib.blake2b(digest_size=16)
+        for w in self.raw():
+            found.update(struct.pack("<I", len(w)))
+            found.update(w)
+        return found.digest()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id", text: str = "text", outputs: str = "digests", work: Workspace | None = None) -> DataFrame:
@@ -163,6 +164,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block.packed(key_type)], pa.binary())], names=["block", "packed"])
                     return
                 raw = block.raw()
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([block.digest()], pa.binary())], names=["block", "at", "word"])
                 for s in range(0, len(raw), WORD_ROWS):
                     part = raw[s : s + WORD_ROWS]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(np.arange(s, s + len(part), dtype=np.int32)), pa.array(part, pa.binary())], names=["block", "at", "word"])
@@ -186,7 +188,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id
 
     words = work.write(split(False), "words")
     once = words.select("word").distinct().mapInArrow(encoded, "word binary, ids binary")
-    known = words.join(once, "word").select("block", "at", "ids", F.crc32("word").alias("crc"))
+    # number -1 takes the block's checksum along
+    known = words.join(once, "word").select("block", "at", F.when(F.col("at") < 0, F.col("word")).otherwise(F.col("ids")).alias("ids"))
     digests = outputs == "digests"
 
     def assemble(block: pa.Table, words: pa.Table) -> pa.Table:
@@ -194,13 +197,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id
         out: dict[str, list] = {n: [] for n in ("k", "n", "ids", "decoded")}
         at = words.column("at").to_numpy()
         order = np.argsort(at)
-        crc = words.column("crc").to_numpy()[order]
         held = words.column("ids").to_pylist()
-        held = [held[i] for i in order]
+        digest, *held = [held[i] for i in order]
         table = Ragged(np.frombuffer(b"".join(held), "<u4"), np.array([len(x) // 4 for x in held], np.int64))
         for data in block.column("packed").to_pylist():
             keys, sizes, places, summed = spread_out(data)
-            if checksum(crc).tobytes() != summed:
+            if digest != summed:
                 raise ValueError("docs gave other partitions when it was read again")
             places = unplanes(places)
             ends = np.cumsum(np.frombuffer(sizes, "<u8")).astype(np.int64)
