@@ -1,12 +1,13 @@
 """Byte-level BPE by a global shuffle of distinct words, and decoding by the token-byte table.
 
-1. Blocks of documents are split into pre-tokens; a block emits each of its distinct words once, with its number.
-2. The distinct words of all blocks are encoded, each once, and their ids are joined back to the blocks' words.
-3. Blocks are split again, now into each document's pre-tokens by position, as numbers of the block's
+1. Blocks of documents are split into pre-tokens; a block deals its list of words over buckets by their hash.
+2. A bucket gathers the words of all blocks and encodes each distinct word once; every block gets
+   its words' ids back.
+3. Blocks are split again, now into each document's pre-tokens by position, as numbers of the block's list of
    words.  They meet the words' ids; documents are put together by position, and decoded.
-A word has as many rows as blocks hold it, so rows grow with the input and no word is hot.  Positions travel packed, a row
-a block.  Splitting twice costs less than keeping the positions on disk from 1 to 3; a checksum of the words makes sure
-that both times saw the same blocks.
+Positions and words travel packed: a row holds the words of a block that fall into a bucket, so there are blocks times
+buckets of them, and never more than one for each distinct word of a block.  Splitting twice costs less than keeping the positions
+on disk from 1 to 3; checksums of the words make sure that both times saw the same blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,9 @@ from palimpsest.llm.shared import Workspace, is_scan, read
 from palimpsest.llm.token_counts import parts
 
 #: Characters of a block, beyond which no document is added to it.
-BLOCK_CHARS = 48_000_000
-#: Rows of a batch of words.
-WORD_ROWS = 20_000
+BLOCK_CHARS = 24_000_000
+#: Characters of text for each bucket of words.
+BUCKET_CHARS = 32_000_000
 
 
 class Ranks:
@@ -115,25 +117,22 @@ class Block:
         self.sizes.append(n)
         self.chars += len(text)
 
-    def raw(self) -> list[bytes]:
-        return [w.encode("utf-8", "surrogatepass") for w in self.words]
-
-    def packed(self, key_type: pa.DataType) -> bytes:
-        """Keys, sizes, positions and the checksum of the words."""
+    def rows(self, block: int, buckets: int, key_type: pa.DataType, *, own: bool) -> list[tuple[int, int, bytes]]:
+        """(block, bucket, packed): with own one row of keys and positions, else its words, a row for each bucket."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in self.words]
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.uint32, len(raw))
+        order = np.argsort(bucket, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+        held = [(int(bucket[g[0]]), [raw[i] for i in g]) for g in groups]
+        if not own:
+            return [(block, b, squeezed(np.array([len(x) for x in words], "<u4"), b"".join(words))) for b, words in held]
         keys = pa.RecordBatch.from_arrays([pa.array(self.keys, key_type)], names=["k"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, keys.schema) as to:
             to.write_batch(keys)
         at = np.concatenate(self.at) if self.at else np.zeros(0, np.uint32)
-        return squeezed(sink.getvalue().to_pybytes(), np.array(self.sizes, "<u8"), planes(at), self.digest())
-
-    def digest(self) -> bytes:
-        """Of the words, in the order of their numbers."""
-        found = hashlib.blake2b(digest_size=16)
-        for w in self.raw():
-            found.update(struct.pack("<I", len(w)))
-            found.update(w)
-        return found.digest()
+        sums = np.array([zlib.crc32(b"".join(words)) for _, words in held], "<u4")
+        return [(block, -1, squeezed(sink.getvalue().to_pybytes(), np.array(self.sizes, "<u8"), planes(at), planes(bucket), sums))]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id", text: str = "text", outputs: str = "digests", work: Workspace | None = None) -> DataFrame:
@@ -145,12 +144,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id
     docs is read twice: what isn't a plain scan of files, whose partitions are the same each time, is written first.
     """
     work = work or Workspace(docs.sparkSession, "bpe")
-    key_type = pa.int64() if docs.schema[key].dataType.simpleString() == "bigint" else pa.string()
-    kind = "long" if key_type == pa.int64() else "string"
     back = docs.schema[key].dataType
-    rows = docs.select(F.col(key).cast(kind).alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
     if not is_scan(docs):
         rows = work.write(rows, "texts")
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    buckets = max(32, -(-chars // BUCKET_CHARS))
+    key_type = pa.int64() if back.simpleString() == "bigint" else pa.string()
+    kind = "long" if key_type == pa.int64() else "string"
 
     def split(own: bool):
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,56 +160,59 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id
             find = Ranks.load(ranks_path, pattern).find
             number, block = TaskContext.get().partitionId() << 32, Block()
 
-            def emitted() -> Iterator[pa.RecordBatch]:
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([block.packed(key_type)], pa.binary())], names=["block", "packed"])
-                    return
-                raw = block.raw()
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([block.digest()], pa.binary())], names=["block", "at", "word"])
-                for s in range(0, len(raw), WORD_ROWS):
-                    part = raw[s : s + WORD_ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(np.arange(s, s + len(part), dtype=np.int32)), pa.array(part, pa.binary())], names=["block", "at", "word"])
+            def packed() -> pa.RecordBatch:
+                made = block.rows(number, buckets, key_type, own=own)
+                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["block", "bucket", "packed"])
 
             for b in batches:
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     block.add(k, t or "", find)
                     if block.chars >= BLOCK_CHARS:
-                        yield from emitted()
+                        yield packed()
                         number, block = number + 1, Block()
             if block.keys:
-                yield from emitted()
-
-        return rows.mapInArrow(blocks, "block long, packed binary" if own else "block long, at int, word binary")
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = Ranks.load(ranks_path, pattern).piece
-        for b in batches:
-            words = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(piece(w), "<u4").tobytes() for w in words], pa.binary())], names=["word", "ids"])
-
-    words = work.write(split(False), "words")
-    once = words.select("word").distinct().mapInArrow(encoded, "word binary, ids binary")
-    # number -1 takes the block's checksum along
-    known = words.join(once, "word").select("block", "at", F.when(F.col("at") < 0, F.col("word")).otherwise(F.col("ids")).alias("ids"))
+                yield packed()
+
+        return rows.select(F.col("key").cast(kind).alias("k"), "t").mapInArrow(blocks, "block long, bucket long, packed binary")
+
+    def distinct(table: pa.Table) -> pa.Table:
+        piece, known, out = Ranks.load(ranks_path, pattern).piece, {}, []
+        for data in table.column("packed").to_pylist():
+            sizes, flat = spread_out(data)
+            at, counts, ids = 0, [], []
+            for n in np.frombuffer(sizes, "<u4").tolist():
+                w = flat[at : at + n]
+                at += n
+                got = known.get(w)
+                if got is None:  # each distinct word once
+                    got = known[w] = piece(w)
+                counts.append(len(got))
+                ids += got
+            out.append(squeezed(np.array(counts, "<u4"), planes(np.array(ids, np.uint32)), np.array([zlib.crc32(flat)], "<u4")))
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "packed": pa.array(out, pa.binary())})
+
+    words = split(False).groupBy("bucket").applyInArrow(distinct, "block long, bucket long, packed binary")
     digests = outputs == "digests"
 
     def assemble(block: pa.Table, words: pa.Table) -> pa.Table:
         ranks = Ranks.load(ranks_path, pattern)
         out: dict[str, list] = {n: [] for n in ("k", "n", "ids", "decoded")}
-        at = words.column("at").to_numpy()
-        order = np.argsort(at)
-        held = words.column("ids").to_pylist()
-        digest, *held = [held[i] for i in order]
-        table = Ragged(np.frombuffer(b"".join(held), "<u4"), np.array([len(x) // 4 for x in held], np.int64))
         for data in block.column("packed").to_pylist():
-            keys, sizes, places, summed = spread_out(data)
-            if digest != summed:
+            keys, sizes, at, bucket, sums = spread_out(data)
+            at, bucket = unplanes(at), unplanes(bucket)
+            got = {b: spread_out(p) for b, p in zip(words.column("bucket").to_pylist(), words.column("packed").to_pylist(), strict=True)}
+            if b"".join(got[b][2] for b in sorted(got)) != sums:
                 raise ValueError("docs gave other partitions when it was read again")
-            places = unplanes(places)
+            order = np.argsort(bucket, kind="stable")  # a bucket's words are in the order of the block's list
+            counts = np.concatenate([np.frombuffer(got[b][0], "<u4") for b in sorted(got)]) if got else np.zeros(0, np.uint32)
+            flat = np.concatenate([unplanes(got[b][1]) for b in sorted(got)]) if got else np.zeros(0, np.uint32)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            table = Ragged(flat, counts.astype(np.int64))
             ends = np.cumsum(np.frombuffer(sizes, "<u8")).astype(np.int64)
             starts = np.concatenate([[0], ends])
             for k, s, e in zip(pa.ipc.open_stream(keys).read_all().column("k").to_pylist(), starts, ends, strict=False):
-                ids = table.take(places[s:e])
+                ids = table.take(place[at[s:e]])
                 decoded = ranks.bytes.take(ids).tobytes()
                 out["k"].append(k)
                 out["n"].append(len(ids))
@@ -218,7 +222,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id
         return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), kinds, strict=True)})
 
     shape = f"k {kind}, n long, " + ("ids string" if digests else "ids array<int>") + ", decoded string"
-    done = split(True).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(assemble, shape)
+    done = split(True).groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, shape)
     names = ("n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256")
     return done.select(F.col("k").cast(back).alias(key), *[F.col(a).alias(b) for a, b in zip(("n", "ids", "decoded"), names, strict=True)])
 
