@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 import time
 import uuid
 from typing import Any
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.values import blake2b
-from palimpsest.operators import documents, graph, integrity, resolve, writes
+from palimpsest.operators import documents, files, graph, integrity, resolve, writes
 from palimpsest.plans import lower
 from palimpsest.plans.lower import Store
 from palimpsest.plans.plan import Plan
@@ -46,7 +45,7 @@ def typed(versions: DataFrame) -> DataFrame:
     is read as field_<name>.
     """
     kinds = versions.where("doc is not null").select(F.schema_of_variant_agg(F.parse_json("doc"))).first()[0]
-    meta = [F.col(c) for c in META]
+    meta = [F.col(c) for c in META if c in versions.columns]
     if not kinds.startswith("OBJECT<"):
         return versions.select(*meta)
     kinds = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", kinds).replace("OBJECT<", "STRUCT<")
@@ -56,12 +55,53 @@ def typed(versions: DataFrame) -> DataFrame:
     return versions.withColumn("__d", doc).select(*meta, *[F.col("__d").getField(f).alias(f"field_{f}" if f in META else f) for f in struct.names])
 
 
+def nested(fields: dict) -> dict:
+    """Dotted names as objects."""
+    out: dict = {}
+    for path, v in fields.items():
+        at, (*above, last) = out, path.split(".")
+        for part in above:
+            at = at.setdefault(part, {})
+        at[last] = v
+    return out
+
+
+def create(spark: SparkSession, root: str, name: str, init: dict | None = None) -> Database:
+    """A new database, named in [A-Za-z0-9_-]; init: {"search": {coll: fields}, "seed": {coll: {id: document}}, "links": [(frm, rel, to)]}."""
+    init = init or {}
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", name):
+        raise ValueError(f"not a name: {name!r}")
+    if name in databases(spark, root):
+        raise ValueError(f"{name} is there already")
+    db = Database(spark, f"{root.rstrip('/')}/{name}", init.get("search"))
+    puts = [{"op": "put", "coll": c, "id": i, "doc": d} for c, docs in init.get("seed", {}).items() for i, d in docs.items()]
+    db.commit(puts + [{"op": "link", "frm": f, "rel": r, "to": t} for f, r, t in init.get("links", [])])
+    return db
+
+
+def databases(spark: SparkSession, root: str) -> list[str]:
+    """The names of the databases in a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    ops = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return sorted(s.getPath().getName() for s in system.listStatus(path) if system.exists(ops(s.getPath().toString() + "/ops")))
+
+
+def drop_database(spark: SparkSession, root: str, name: str) -> bool:
+    """Deletes a database and its history; whether it was there."""
+    if name not in databases(spark, root):
+        return False
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
 class Database:
     def __init__(self, spark: SparkSession, path: str | None = None, search_fields: dict[str, list[str]] | None = None, advisor: writes.Advisor | None = None):
         """Opens or creates the log at path.  Without one the database is ephemeral: a fresh folder in spark.checkpoint.dir."""
         if path is None:
-            root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-            path = f"{root.rstrip('/')}/database-{uuid.uuid4().hex}"
+            path = f"{resolve.shared_folder(spark)}/database-{uuid.uuid4().hex}"
         self.spark, self.path, self.search_fields, self.advisor = spark, path.rstrip("/"), search_fields or {}, advisor
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/ops")
         if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
@@ -78,9 +118,9 @@ class Database:
 
     @property
     def seq(self) -> int:
-        """The number that the next op gets."""
+        """The number of the newest op; -1 of an empty log."""
         last = self.ops().agg(F.max("seq")).first()[0]
-        return 0 if last is None else last + 1
+        return -1 if last is None else last
 
     @property
     def head(self) -> str:
@@ -100,7 +140,7 @@ class Database:
         known = {r.idem: r.seq for r in self.ops().where(F.col("idem").isin(idems)).groupBy("idem").agg(F.min("seq").alias("seq")).collect()} if idems else {}
         clients = list({o.get("client") or "local" for o in batch})
         last = {r.client: r.n for r in self.ops().where(F.col("client").isin(clients)).groupBy("client").agg(F.max("nonce").alias("n")).collect()}
-        seq, rows, out = self.seq, [], []
+        seq, rows, out = self.seq + 1, [], []
         for o in batch:
             if o.get("idem") in known and o["idem"] is not None:
                 out.append(known[o["idem"]])
@@ -130,12 +170,22 @@ class Database:
         Each op is hashed for itself, without the hash before it: verify() checks its content and that no number is missing.
         """
         fields = [c for c in docs.columns if c != key]
-        made = docs.select(F.col(key).alias("__key"), F.to_json(F.struct(*fields)).alias("doc"))
-        numbered = writes.assign_seq(made, self.seq, "__key")
-        filled = {"client": F.lit("__load__"), "op": F.lit("put"), "coll": F.lit(coll), "id": F.col("__key").cast("string"), "ts": F.lit(time.time()), "seq": F.col("seq").cast("long"), "doc": F.col("doc")}
+        made = docs.select(F.lit("put").alias("op"), F.lit(coll).alias("coll"), F.col(key).alias("__key"), F.to_json(F.struct(*fields)).alias("doc"))
+        self._bulk(made, "__load__")
+
+    def _bulk(self, made: DataFrame, client: str) -> None:
+        """Appends ops (op, coll, __key, doc), numbered in the order of their keys; no row passes the driver."""
+        numbered = writes.assign_seq(made, self.seq + 1, "__key")
+        filled = {"client": F.lit(client), "op": F.col("op"), "coll": F.col("coll"), "id": F.col("__key").cast("string"), "ts": F.lit(time.time()), "seq": F.col("seq").cast("long"), "doc": F.col("doc")}
         ops = numbered.select(*[filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA])
         log.append(self.sealed(ops).withColumn("hash", blake2b(F.col("body").cast("binary"))).select(*SCHEMA.names), f"{self.path}/ops")
 
+    def _bulk_delete(self, keys: DataFrame, client: str) -> int:
+        """Deletes (coll, id) of any number; how many."""
+        before = self.seq
+        self._bulk(keys.select(F.lit("delete").alias("op"), "coll", F.col("id").alias("__key"), F.lit(None).cast("string").alias("doc")), client)
+        return self.seq - before
+
     def verify(self) -> DataFrame:
         """(seq, ok): content matches its hash, the op before is there, and chained ops name its hash."""
         rows = self.sealed(self.ops()).withColumn("again", blake2b(F.concat(F.coalesce("prev_hash", F.lit("")).cast("binary"), F.col("body").cast("binary"))))
@@ -153,6 +203,10 @@ class Database:
     def by_hash(self, digest: str) -> DataFrame:
         return self.ops().where(F.col("hash") == digest)
 
+    def hash_of(self, seq: int) -> str | None:
+        row = self.ops().where(F.col("seq") == seq).select("hash").first()
+        return row.hash if row else None
+
     # writes
 
     def put(self, coll: str, id: str, doc: dict, *, ttl: float | None = None, **more) -> int:
@@ -183,9 +237,7 @@ class Database:
     def sweep(self, now: float | None = None) -> int:
         """Deletes what has expired, by client __ttl__; how many documents."""
         live = resolve.as_of(self._keyed(), key="__key").withColumn("at", F.get_json_object("doc", "$._expires_at").cast("double"))
-        gone = live.where(F.col("at") < F.lit(now if now is not None else time.time())).select("coll", "id").collect()
-        self.commit([{"op": "delete", "coll": r.coll, "id": r.id, "client": "__ttl__"} for r in gone])
-        return len(gone)
+        return self._bulk_delete(live.where(F.col("at") < F.lit(now if now is not None else time.time())), "__ttl__")
 
     # reads
 
@@ -239,7 +291,8 @@ class Database:
                 both = typed(self.ops().where(F.col("coll").isin(reached) & F.col("op").isin("put", "delete")))
                 found["\0"] = both.withColumn("id", F.concat_ws(":", "coll", "id"))
                 targets = {plan.traverse: "\0"}
-        return lower.run(plan, Store(found, edges, targets, self.search_fields))
+        ops = self.ops().where(F.col("op").isin("put", "delete")) if plan.trace else None
+        return lower.run(plan, Store(found, edges, targets, self.search_fields, ops=ops, typed=typed))
 
     def query(self, text: str) -> DataFrame:
         """A query text; after a TRAVERSE into several collections ids are collection:id."""
@@ -281,11 +334,93 @@ class Database:
         changed = documents.update(live, query, change)
         self.load(changed.select("id", *[c for c in changed.columns if c not in META]), coll)
 
+    def update_one(self, coll: str, query: dict, change: dict, upsert: bool = False) -> str | None:
+        """Changes the matched document of the least id, or with upsert makes one; its id, None where none matches."""
+        live = resolve.head(self.versions(coll))
+        first = documents.find(live, query, sort=[("id", 1)], limit=1).select("id").first()
+        if first:
+            for row in documents.update(live.drop(*[c for c in META if c in live.columns and c != "id"]), {"id": first.id}, change).toJSON().collect():  # one at most
+                doc = json.loads(row)
+                self.put(coll, doc.pop("id"), doc)
+            return first.id
+        if not upsert:
+            return None
+        new = {k: v for k, v in query.items() if not k.startswith("$") and not isinstance(v, dict)}
+        for op in ("$set", "$setOnInsert", "$inc", "$min", "$max"):
+            new |= change.get(op, {})
+        new |= {k: v if isinstance(v, list) else [v] for k, v in change.get("$push", {}).items()}
+        new |= {k: 0 for k in change.get("$mul", {})} | {k: v for k, v in change.items() if not k.startswith("$")}
+        key = str(new.pop("_id", uuid.uuid4().hex[:24]))
+        self.put(coll, key, nested(new))
+        return key
+
+    def replace_one(self, coll: str, query: dict, doc: dict, upsert: bool = False) -> str | None:
+        if any(k.startswith("$") for k in doc):
+            raise documents.DialectError("a replacement has no operators")
+        first = self.find_one(coll, query)
+        if first is None and not upsert:
+            return None
+        key = first["_id"] if first else str(doc.get("_id", query.get("_id", uuid.uuid4().hex[:24])))
+        self.put(coll, key, {k: v for k, v in doc.items() if k != "_id"})
+        return key
+
+    def find_one(self, coll: str, query: dict | None = None) -> dict | None:
+        """The matched document of the least id, with it as _id."""
+        row = self.find(coll, query, sort=[("id", 1)], limit=1).select("id").first()
+        return {"_id": row.id} | self.get(coll, row.id) if row else None
+
+    def count_documents(self, coll: str, query: dict | None = None) -> int:
+        return self.find(coll, query).count()
+
+    def delete_one(self, coll: str, query: dict) -> int:
+        row = self.find(coll, query, sort=[("id", 1)], limit=1).select("id").first()
+        if row:
+            self.delete(coll, row.id)
+        return int(row is not None)
+
     def delete_many(self, coll: str, query: dict) -> int:
-        gone = [r.id for r in self.find(coll, query).select("id").toLocalIterator()]
-        for k in range(0, len(gone), 10_000):
-            self.commit([{"op": "delete", "coll": coll, "id": i} for i in gone[k : k + 10_000]])
-        return len(gone)
+        return self._bulk_delete(self.find(coll, query).select(F.lit(coll).alias("coll"), "id"), "__bulk__")
+
+    def drop(self, coll: str) -> int:
+        """Deletes every document of a collection; its history stays."""
+        return self.delete_many(coll, {})
+
+    # files
+
+    def put_file(self, name: str, data: bytes, tier: str = "warm") -> str:
+        """Stores a new version of a file as chunks, each once, and logs its root; the root."""
+        version = 1 + (self.file_versions(name).agg(F.max("version")).first()[0] or 0)
+        pieces = files.cut(self.spark.createDataFrame([(name, version, bytearray(data))], "name string, version long, data binary"), tier)
+        pieces = resolve.checkpointed(pieces)
+        held = self._table("chunks", "hash string, packed binary")
+        files.store(pieces, held.select("hash")).write.mode("append").parquet(f"{self.path}/chunks")
+        made = files.recipes(pieces).withColumn("tier", F.lit(tier))
+        made.write.mode("append").parquet(f"{self.path}/recipes")
+        root = made.first().root
+        self.commit([{"op": "put_file", "coll": "__files__", "id": name, "doc": {"version": version, "root": root, "size": len(data)}}])
+        return root
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def file_versions(self, name: str) -> DataFrame:
+        return self._table("recipes", "name string, version long, recipe array<string>, root string, tier string").where(F.col("name") == name)
+
+    def get_file(self, name: str, version: int | None = None) -> bytes | None:
+        rows = self.file_versions(name)
+        row = (rows if version is None else rows.where(F.col("version") == version)).orderBy(F.desc("version")).first()
+        if row is None:
+            return None
+        recipe = self.spark.createDataFrame([(name, row.version, row.recipe)], "name string, version long, recipe array<string>")
+        got = files.restore(recipe, self._table("chunks", "hash string, packed binary"), row.tier).first()
+        return bytes(got.data) if got else None
+
+    def file_proof(self, name: str, version: int, chunk: int) -> dict:
+        """What shows that a chunk is in a version: its hash, its siblings, and the root."""
+        row = self.file_versions(name).where(F.col("version") == version).first()
+        return {"leaf": row.recipe[chunk], "proof": integrity.merkle_proof(list(row.recipe), chunk), "root": row.root}
 
     # upkeep
 
@@ -309,6 +444,20 @@ class Database:
         live = resolve.as_of(self._keyed() if coll is None else self._keyed().where(F.col("coll") == coll), key="__key")
         log.export_json(live.select("coll", "id", "seq", "doc"), path)
 
+    def compact(self, path: str) -> dict:
+        """A database at path with the live documents and links only, numbered anew; how many ops there were and are."""
+        new = Database(self.spark, path, self.search_fields, self.advisor)
+        live = resolve.as_of(self._keyed(), key="__key").select(F.lit("put").alias("op"), "coll", F.col("id").alias("__key"), "doc")
+        new._bulk(live, "__compact__")
+        links = graph.live(self.edges()).select("frm", "rel", "to")
+        n = new.seq + 1
+        numbered = writes.assign_seq(links.withColumn("k", F.concat_ws("|", "frm", "rel", "to")), n, "k")
+        filled = {"client": F.lit("__compact__"), "op": F.lit("link"), "ts": F.lit(time.time()), **{c: F.col(c) for c in ("seq", "frm", "rel", "to")}}
+        ops = numbered.select(*[filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA])
+        log.append(self.sealed(ops).withColumn("hash", blake2b(F.col("body").cast("binary"))).select(*SCHEMA.names), f"{new.path}/ops")
+        before, after = self.seq + 1, new.seq + 1
+        return {"before": before, "after": after, "dropped": before - after}
+
     def heal(self, path: str) -> Database:
         """A database at path with the same ops, chained anew, if each op's content is whole; else an error.
 

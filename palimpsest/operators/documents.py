@@ -85,7 +85,8 @@ def operator(schema: T.StructType, path: str, op: str, value, beside: dict) -> C
         return F.exists(c, lambda x: reduce(lambda a, b: a & b, [tests[o](x, v) for o, v in value.items()]))
     if op == "$mod":
         d, r = (int(v) for v in value)
-        return F.pmod(c.cast("bigint"), F.lit(d)) == r if isinstance(kind, NUMBERS) else F.lit(False)
+        rest = c.cast("bigint") % F.lit(d)  # of the dividend's sign; the dialect's is of the divisor's
+        return F.when((rest != 0) & ((rest < 0) != F.lit(d < 0)), rest + d).otherwise(rest) == r if isinstance(kind, NUMBERS) else F.lit(False)
     raise DialectError(op)
 
 
@@ -96,6 +97,11 @@ def field(schema: T.StructType, path: str, value) -> Column:
     return F.coalesce(_equal(F.col(path) if kind is not None else None, kind, value), F.lit(False))
 
 
+def named(schema: T.StructType, path: str, key: str = "id") -> str:
+    """A path, with _id as the key's other name."""
+    return key if path == "_id" and "_id" not in schema.names else path
+
+
 def match(schema: T.StructType, query: dict) -> Column:
     """The filter of a query document."""
     found = F.lit(True)
@@ -109,22 +115,23 @@ def match(schema: T.StructType, query: dict) -> Column:
         elif k.startswith("$"):
             raise DialectError(k)
         else:
-            found = found & field(schema, k, v)
+            found = found & field(schema, named(schema, k), v)
     return found
 
 
 def project(docs: DataFrame, projection: dict, key: str = "id") -> DataFrame:
-    named = {key if k == "_id" else k: bool(v) for k, v in projection.items()}
-    modes = {v for k, v in named.items() if k != key}
+    asked = {key if k == "_id" else k: bool(v) for k, v in projection.items()}
+    modes = {v for k, v in asked.items() if k != key}
     if len(modes) > 1:
         raise DialectError("a projection includes or excludes, not both")
     if modes == {True}:
-        return docs.select(*[c for c in docs.columns if named.get(c) or (c == key and named.get(key, True))])
-    return docs.drop(*[k for k, v in named.items() if not v])
+        return docs.select(*[c for c in docs.columns if asked.get(c) or (c == key and asked.get(key, True))])
+    return docs.drop(*[k for k, v in asked.items() if not v])
 
 
 def sort_columns(sort: list[tuple[str, int]], key: str) -> list[Column]:
     """Missing is least: first ascending, last descending; ties by key."""
+    sort = [(key if f == "_id" and key else f, d) for f, d in sort]
     return [F.col(f).asc_nulls_first() if d > 0 else F.col(f).desc_nulls_last() for f, d in sort] + ([F.col(key)] if key else [])
 
 
@@ -138,15 +145,16 @@ def find(docs: DataFrame, query: dict | None = None, projection: dict | None = N
 
 
 def distinct(docs: DataFrame, path: str, query: dict | None = None) -> DataFrame:
-    docs = docs.where(match(docs.schema, query or {}))
+    docs, path = docs.where(match(docs.schema, query or {})), named(docs.schema, path)
     c = F.explode(path) if isinstance(kind_of(docs.schema, path), T.ArrayType) else F.col(path)
     return docs.select(c.alias("value")).distinct()
 
 
 def _value(schema: T.StructType, spec) -> tuple[Column, T.DataType | None]:
     if isinstance(spec, str) and spec.startswith("$"):
-        kind = kind_of(schema, spec[1:])
-        return (F.col(spec[1:]) if kind is not None else F.lit(None)), kind
+        path = named(schema, spec[1:])
+        kind = kind_of(schema, path)
+        return (F.col(path) if kind is not None else F.lit(None)), kind
     return F.lit(spec), None
 
 
@@ -167,12 +175,15 @@ def accumulator(schema: T.StructType, op: str, spec, order: Column) -> Column:
     raise DialectError(op)
 
 
-def group(docs: DataFrame, spec: dict, order: Column) -> DataFrame:
-    key = spec["_id"]
+def group_key(schema: T.StructType, key) -> Column:
+    """null (one group), a constant, "$path", or a composite of paths."""
     if isinstance(key, dict):
-        by = F.struct(*[_value(docs.schema, v)[0].alias(k) for k, v in key.items()])
-    else:
-        by = _value(docs.schema, key)[0] if key is not None else F.lit(None)
+        return F.struct(*[_value(schema, v)[0].alias(k) for k, v in key.items()])
+    return _value(schema, key)[0] if key is not None else F.lit(None).cast("string")
+
+
+def group(docs: DataFrame, spec: dict, order: Column) -> DataFrame:
+    by = group_key(docs.schema, spec["_id"])
     made = [accumulator(docs.schema, *next(iter(v.items())), order).alias(k) for k, v in spec.items() if k != "_id"]
     return docs.groupBy(by.alias("_id")).agg(*made)
 
@@ -201,12 +212,13 @@ def aggregate(docs: DataFrame, pipeline: list[dict], key: str = "id") -> DataFra
             path = (spec if isinstance(spec, str) else spec["path"])[1:]
             docs = docs.withColumn(path, F.explode(path))
         elif name == "$group":
-            place = Window.orderBy(*sort_columns(sort, key))
             ordered = any(op in ("$first", "$last", "$push") for k, v in spec.items() if k != "_id" for op in v)
             if ordered and all(d > 0 for _, d in sort):
                 order = F.struct(*[F.col(f) for f, _ in sort], F.col(key))
             elif ordered:
-                docs = docs.withColumn("__place", F.row_number().over(place))
+                # a struct has no descending parts: rows are numbered within their group
+                by = group_key(docs.schema, spec["_id"])
+                docs = docs.withColumn("__place", F.row_number().over(Window.partitionBy(by).orderBy(*sort_columns(sort, key))))
                 order = F.col("__place")
             else:
                 order = F.lit(0)
@@ -216,55 +228,122 @@ def aggregate(docs: DataFrame, pipeline: list[dict], key: str = "id") -> DataFra
     return docs
 
 
+def at_path(column: Column, kind: T.DataType | None, parts: list[str]) -> tuple[Column | None, T.DataType | None]:
+    for part in parts:
+        if not isinstance(kind, T.StructType) or part not in kind.names:
+            return None, None
+        column, kind = column.getField(part), kind[part].dataType
+    return column, kind
+
+
+def with_path(column: Column | None, kind: T.DataType | None, parts: list[str], new: Column) -> Column:
+    """A column with a value at a path within it; parents that aren't there, or aren't objects, are made."""
+    if not parts:
+        return new
+    names = kind.names if isinstance(kind, T.StructType) else []
+    fields = [(with_path(column.getField(n), kind[n].dataType, parts[1:], new) if n == parts[0] else column.getField(n)).alias(n) for n in names]
+    if parts[0] not in names:
+        fields.append(with_path(None, None, parts[1:], new).alias(parts[0]))
+    return F.struct(*fields)
+
+
 def update(docs: DataFrame, query: dict, change: dict, key: str = "id") -> DataFrame:
-    """The new versions of the matched documents that a change alters."""
+    """The new versions of the matched documents that a change alters, by one projection: nothing is shuffled.
+
+    Dotted paths reach into objects.  A field that $unset takes away is null in the result, nested, and no column of it, at the top.
+    """
     hit = docs.where(match(docs.schema, query))
-    if not any(k.startswith("$") for k in change):
-        return hit.select(key, *[F.lit(v).alias(k) for k, v in change.items() if k not in (key, "_id")])
-    out = hit
+    operators = [k for k in change if k.startswith("$")]
+    if operators and len(operators) < len(change):
+        raise DialectError("a change has operators, or is a document, not both")
+    if not operators:
+        return replace(docs, query, change, key)
+    own = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in docs.schema}
+    made: dict[str, tuple[Column, T.DataType | None]] = dict(own)
+
+    def kind(column: Column) -> T.DataType:
+        return hit.select(column.alias("x")).schema["x"].dataType
+
+    def put(path: str, new: Column) -> None:
+        top, *rest = path.split(".")
+        column, held = made.get(top, (None, None))
+        new = with_path(column, held, rest, new)
+        made[top] = (new, kind(new))
+
     for op, fields in change.items():
-        for name, v in fields.items():
-            if name in (key, "_id"):
+        for path, v in fields.items():
+            top, *rest = path.split(".")
+            if top in (key, "_id"):
                 raise DialectError("the id doesn't change")
-            here = name in out.columns
-            old = F.col(name) if here else F.lit(None)
-            number = F.coalesce(old, F.lit(0)) if not here or isinstance(out.schema[name].dataType, NUMBERS) else F.lit(0)
-            each = v["$each"] if isinstance(v, dict) and "$each" in v else [v]
-            items = F.array(*map(F.lit, each)) if not isinstance(v, dict) or "$each" in v else None
+            old, held = at_path(*made[top], rest) if top in made else (None, None)
+            old = old if old is not None else F.lit(None)
+            number = F.coalesce(old, F.lit(0)) if isinstance(held, NUMBERS) else F.lit(0)
+            items = F.array(*map(F.lit, v["$each"] if isinstance(v, dict) and "$each" in v else [v])) if not isinstance(v, dict) or "$each" in v else None
+            array = old if isinstance(held, T.ArrayType) else F.lit(None)
             if op == "$set":
-                new = F.lit(v)
+                put(path, F.lit(v))
             elif op == "$setOnInsert":
-                continue
+                pass
             elif op == "$unset":
-                out = out.drop(name)
-                continue
-            elif op == "$inc":
-                new = number + v
-            elif op == "$mul":
-                new = number * v
-            elif op == "$min":
-                new = F.least(old, F.lit(v))
-            elif op == "$max":
-                new = F.greatest(old, F.lit(v))
+                if not rest:
+                    made.pop(top, None)
+                elif held is not None:
+                    parent, shape = made[top]
+                    made[top] = (F.when(parent.isNotNull(), with_path(parent, shape, rest, F.lit(None).cast(held))), shape)
+            elif op in ("$inc", "$mul"):
+                put(path, number + v if op == "$inc" else number * v)
+            elif op in ("$min", "$max"):
+                put(path, (F.least if op == "$min" else F.greatest)(old, F.lit(v)))
             elif op == "$rename":
-                out = out.withColumnRenamed(name, v) if here else out
-                continue
+                if held is not None:
+                    if not rest:
+                        made.pop(top)
+                    else:
+                        parent, shape = made[top]
+                        made[top] = (F.when(parent.isNotNull(), with_path(parent, shape, rest, F.lit(None).cast(held))), shape)
+                    put(v, old)
             elif op == "$push":
-                new = F.concat(F.coalesce(old, F.array()), items)
+                put(path, F.concat(F.coalesce(array, F.array()), items))
             elif op == "$addToSet":
-                new = F.concat(F.coalesce(old, F.array()), F.array_except(items, F.coalesce(old, F.array())))
+                put(path, F.concat(F.coalesce(array, F.array()), F.array_except(items, F.coalesce(array, F.array()))))
             elif op == "$pull":
-                new = F.filter(old, lambda x: x != v) if not isinstance(v, dict) else F.filter(old, lambda x: ~reduce(lambda a, b: a & b, [{"$gt": x > w, "$gte": x >= w, "$lt": x < w, "$lte": x <= w, "$eq": x == w, "$in": x.isin(w) if isinstance(w, list) else F.lit(False)}[o] for o, w in v.items()]))
+                if isinstance(held, T.ArrayType):
+                    put(path, F.filter(old, lambda x: ~F.coalesce(pulled(x, v), F.lit(False))))
             elif op == "$pop":
-                n = F.greatest(F.size(old) - 1, F.lit(0))
-                new = F.slice(old, 1, n) if v > 0 else F.slice(old, 2, n)
+                if isinstance(held, T.ArrayType):
+                    n = F.greatest(F.size(old) - 1, F.lit(0))
+                    put(path, F.slice(old, 1, n) if v > 0 else F.slice(old, 2, n))
             else:
                 raise DialectError(op)
-            out = out.withColumn(name, new)
-    if out.columns == hit.columns:
-        same = reduce(lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in out.columns])
-        return out.alias("n").join(hit.alias("o"), key).where(~same).select("n.*")
-    return out
+
+    def changed(name: str) -> Column:
+        if name not in made:
+            return own[name][0].isNotNull()
+        if name not in own:
+            return made[name][0].isNotNull()
+        (a, x), (b, y) = own[name], made[name]
+        return ~a.eqNullSafe(b) if x == y or isinstance(x, NUMBERS) and isinstance(y, NUMBERS) else F.lit(True)
+
+    touched = [n for n in {**own, **made} if own.get(n) is not made.get(n)]
+    out = hit.where(reduce(lambda a, b: a | b, map(changed, touched), F.lit(False)))
+    return out.select(*[c.alias(n) for n, (c, _) in made.items()])
+
+
+def pulled(x: Column, v) -> Column:
+    """Whether an element goes: it equals a value, or meets all operators."""
+    if not isinstance(v, dict):
+        return x == v
+    tests = {"$gt": lambda w: x > w, "$gte": lambda w: x >= w, "$lt": lambda w: x < w, "$lte": lambda w: x <= w, "$eq": lambda w: x == w, "$ne": lambda w: x != w, "$in": lambda w: x.isin(w), "$nin": lambda w: ~x.isin(w)}
+    if set(v) - set(tests):
+        raise DialectError(str(sorted(set(v) - set(tests))))
+    return reduce(lambda a, b: a & b, [tests[o](w) for o, w in v.items()])
+
+
+def replace(docs: DataFrame, query: dict, doc: dict, key: str = "id") -> DataFrame:
+    """The matched documents with other fields in place of all of theirs."""
+    if any(k.startswith("$") for k in doc):
+        raise DialectError("a replacement has no operators")
+    return docs.where(match(docs.schema, query)).select(key, *[F.lit(v).alias(k) for k, v in doc.items() if k not in (key, "_id")])
 
 
 def upsert(docs: DataFrame, query: dict, change: dict, new_id, key: str = "id") -> DataFrame:

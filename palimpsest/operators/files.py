@@ -7,6 +7,7 @@ import random
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,21 +18,37 @@ from palimpsest.operators.integrity import merkle_root_of
 LEAST, MOST, CUT_BITS = 2048, 65536, 13
 
 
-def gears(seed: int = 11) -> list[int]:
+def gears(seed: int = 11) -> np.ndarray:
     """64-bit random values, one a byte."""
     rng = random.Random(seed)
-    return [rng.getrandbits(64) for _ in range(256)]
+    return np.array([rng.getrandbits(64) for _ in range(256)], np.uint64)
+
+
+GEARS = gears()
+
+
+def rolled(data: bytes) -> np.ndarray:
+    """At each byte the rolling hash of the last 64 bytes: the sum of their gears, shifted left once for each later byte.
+
+    Doubling spans the window in six steps over the whole array.
+    """
+    h = GEARS[np.frombuffer(data, np.uint8)]
+    for k in (1, 2, 4, 8, 16, 32):
+        h[k:] = h[k:] + (h[:-k] << np.uint64(k))
+    return h
 
 
 def chunks(data: bytes) -> Iterator[bytes]:
     """Cuts where a rolling hash of the last 64 bytes begins with 13 zeros, between 2 and 64 KiB."""
-    table, start, h, full = gears(), 0, 0, (1 << 64) - 1
-    for i, b in enumerate(data):
-        h = ((h << 1) + table[b]) & full
-        size = i + 1 - start
-        if (size >= LEAST and not h >> (64 - CUT_BITS)) or size >= MOST:
-            yield data[start : i + 1]
-            start, h = i + 1, 0
+    marks = np.flatnonzero(rolled(data) >> np.uint64(64 - CUT_BITS) == 0) if len(data) >= LEAST else np.zeros(0, np.int64)
+    start = 0
+    while len(data) - start >= LEAST:
+        k = np.searchsorted(marks, start + LEAST - 1)  # no window of a chunk's 2 KiB or more reaches before it
+        end = min(int(marks[k]) + 1 if k < len(marks) else len(data) + 1, start + MOST)
+        if end > len(data):
+            break
+        yield data[start:end]
+        start = end
     if start < len(data) or not data:
         yield data[start:]
 

@@ -70,3 +70,23 @@ def trace(ops: DataFrame, start: DataFrame, reverse: bool = False, include_root:
     if include_root:
         reached = reached.union(start.select("seq")).distinct()
     return puts.join(reached, "seq", "left_semi")
+
+
+def trace_each(ops: DataFrame, start: DataFrame, reverse: bool = False, limit: int = 1000) -> DataFrame:
+    """(root, seq, depth) for each root apart, the root itself first: at most limit ops of a root, nearest first, ties by seq.
+
+    Roots share nothing, so an op that two of them reach comes twice.
+    """
+    steps = ops.where("op = 'put'").select("seq", F.explode("caused_by").alias("next"))
+    if reverse:
+        steps = steps.select(F.col("next").alias("seq"), F.col("seq").alias("next"))
+    depth = 0
+    frontier = resolve.checkpointed(start.select(F.col("seq").alias("root"), "seq").distinct())
+    seen = frontier.withColumn("depth", F.lit(0))
+    while not frontier.isEmpty() and depth < limit:
+        depth += 1
+        found = frontier.join(steps, "seq").select("root", F.col("next").alias("seq")).distinct().join(seen, ["root", "seq"], "left_anti")
+        frontier = resolve.checkpointed(found)
+        seen = resolve.checkpointed(seen.union(frontier.withColumn("depth", F.lit(depth))))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("depth", "seq"))
+    return seen.withColumn("n", place).where(F.col("n") <= limit).drop("n")

@@ -125,7 +125,7 @@ def merkle_verify(leaf: str, proof: list[tuple[str, str]], root: str) -> bool:
 
 @F.pandas_udf(T.StringType())
 def merkle_root_of(recipes: pd.Series) -> pd.Series:
-    return recipes.map(lambda r: merkle_root(list(r)))
+    return recipes.map(lambda r: None if r is None else merkle_root(list(r)))
 
 
 def inclusion_proof(sealed: DataFrame, seq: int) -> dict:

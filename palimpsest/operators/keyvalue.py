@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.values import glob
+from palimpsest.functions.values import glob, id_part
 from palimpsest.operators import graph, resolve
 
-REFUSED = frozenset("EXPIRE PEXPIRE EXPIREAT TTL PTTL PERSIST MULTI EXEC DISCARD WATCH UNWATCH PUBLISH SUBSCRIBE PSUBSCRIBE UNSUBSCRIBE XADD XREAD XRANGE XLEN XACK XGROUP GEOADD GEODIST GEOPOS GEORADIUS ZADD ZRANGE ZREM ZSCORE ZRANK ZCARD ZINCRBY PFADD PFCOUNT PFMERGE SETBIT GETBIT BITCOUNT BITOP SCRIPT CLUSTER".split())
+#: Fixed: the commands that the dialect refuses.
+REFUSED = frozenset(
+    """EXPIRE EXPIREAT EXPIRETIME PEXPIRE PEXPIREAT TTL PTTL PERSIST SUBSCRIBE UNSUBSCRIBE PSUBSCRIBE PUNSUBSCRIBE PUBLISH PUBSUB
+    MULTI EXEC DISCARD WATCH UNWATCH WAIT OBJECT DEBUG MONITOR SLOWLOG CLUSTER REPLICAOF SLAVEOF BGSAVE BGREWRITEAOF LASTSAVE SAVE
+    RESTORE DUMP MIGRATE MOVE SORT EVAL EVALSHA SCRIPT GEORADIUSBYMEMBER GEOADD GEODIST GEOPOS XADD XREAD XLEN XRANGE BF.ADD CF.ADD""".split()
+)
 
 
 class Refused(ValueError):
@@ -82,4 +87,4 @@ def lists(pushes: DataFrame) -> DataFrame:
 def register(pairs: DataFrame, pattern: str, coll: str) -> DataFrame:
     """Existing (key, value) pairs as documents: ids are what follows the last colon, values JSON objects or {"_v": value}."""
     value = F.when(F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{"), F.col("value")).otherwise(F.to_json(F.struct(F.col("value").alias("_v"))))
-    return pairs.where(glob(F.col("key"), pattern)).select(F.lit(coll).alias("coll"), F.substring_index("key", ":", -1).alias("id"), value.alias("doc"))
+    return pairs.where(glob(F.col("key"), pattern)).select(F.lit(coll).alias("coll"), id_part(F.col("key")).alias("id"), value.alias("doc"))

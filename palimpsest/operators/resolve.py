@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read from there: what uses it twice sees the same rows and partitions."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
-        spark.sparkContext.setCheckpointDir(at)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset a fresh folder on a local master, and an error on a cluster, whose machines share none."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
+    return f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"

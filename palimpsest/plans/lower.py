@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +18,33 @@ from palimpsest.plans.text import Change, parse, parse_sql
 
 @dataclass
 class Store:
-    """Collections by name, as versions (seq, op, id, fields); edges as intervals; indexed search fields."""
+    """Collections by name, as versions (seq, op, id, fields); edges as intervals; indexed search fields.
+
+    current: collections of which each key has one version, a put: their rows are HEAD, and filters reach the scan.
+    ops: all ops (seq, op, coll, id, caused_by, …) for TRACE, and typed, which gives such rows their fields.  Without ops a walk
+    is over the collections that have caused_by.  json_search: SEARCH looks in the whole document as JSON, names too.
+    """
 
     collections: dict[str, DataFrame]
     edges: DataFrame | None = None
     targets: dict[str, str] = field(default_factory=dict)
     search_fields: dict[str, list[str]] = field(default_factory=dict)
+    current: frozenset[str] = frozenset()
+    ops: DataFrame | None = None
+    typed: Callable[[DataFrame], DataFrame] = lambda rows: rows
+    json_search: bool = False
+
+    def state(self, name: str, seq: int | None = None) -> DataFrame:
+        versions = self.collections[name]
+        if name not in self.current:
+            return resolve.as_of(versions, seq)
+        return (versions if seq is None else versions.where(F.col("seq") <= seq)).drop("op")
+
+    def causal(self) -> DataFrame:
+        if self.ops is not None:
+            return self.ops
+        parts = [v.withColumn("coll", F.lit(n)) for n, v in self.collections.items() if "caused_by" in v.columns]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def query(self, text: str) -> DataFrame:
         return run(parse(text), self)
@@ -36,8 +59,7 @@ ALIASES = {"_id": "id", "_seq": "seq", "_caused_by": "caused_by", "_evidence": "
 
 def run(plan: Plan, store: Store) -> DataFrame:
     """candidates, WHERE, SEARCH, VALID AS OF, ORDER BY, TRAVERSE, TRACE, LIMIT, GROUP BY; an unknown collection is an error."""
-    versions = store.collections[plan.source]
-    docs = resolve.as_of(versions, plan.as_of)
+    docs = store.state(plan.source, plan.as_of)
 
     def column(name: str):
         name = name if name in docs.columns else ALIASES.get(name, name)
@@ -46,12 +68,13 @@ def run(plan: Plan, store: Store) -> DataFrame:
     for name, op, value in plan.where:
         docs = docs.where(values.compare(*column(name), op, value))
     for name, pattern, _ in plan.like:
-        docs = docs.where(F.col(name).like(pattern))
+        c, kind = column(name)  # an absent field is like nothing
+        docs = docs.where(c.like(pattern) if isinstance(kind, T.StringType) else F.lit(False))
     for name, null in plan.nulls:
         c, _ = column(name)
         docs = docs.where((c.isNull() if null else c.isNotNull()) if c is not None else F.lit(null))
     if plan.search is not None:
-        docs = docs.where(search(docs, plan.search, store.search_fields.get(plan.source)))
+        docs = docs.where(search(docs, plan.search, store.search_fields.get(plan.source), store.json_search))
     if plan.valid_as_of is not None:
         docs = resolve.valid_at(docs, plan.valid_as_of)
     order = []
@@ -60,26 +83,36 @@ def run(plan: Plan, store: Store) -> DataFrame:
         order = [*([values.ordered(c, plan.order_by[1])] if c is not None else []), F.col("id")]
         docs = docs.orderBy(*order)
     if plan.traverse:
-        docs = graph.traverse(docs, store.edges, resolve.as_of(store.collections[store.targets[plan.traverse]], plan.as_of), plan.traverse, plan.as_of)
+        docs = graph.traverse(docs, store.edges, store.state(store.targets[plan.traverse], plan.as_of), plan.traverse, plan.as_of)
         order = []
     if plan.trace:
-        ops = versions if plan.as_of is None else versions.where(F.col("seq") <= plan.as_of)
+        # the walk goes through the puts of all collections; what it reaches may be of any
+        ops = store.causal()
+        ops = ops if plan.as_of is None else ops.where(F.col("seq") <= plan.as_of)
         found = graph.trace(ops, docs.select("seq"), plan.trace_reverse)
-        docs = resolve.as_of(versions, plan.as_of).join(found.select("id").distinct(), "id", "left_semi") if plan.trace_reverse else found.drop("op")
+        if plan.trace_reverse:
+            states = ops.where(F.col("op").isin("put", "delete")).withColumn("__key", F.struct("coll", "id"))
+            found = resolve.as_of(states, None, "__key").drop("__key").join(found.select("coll", "id").distinct(), ["coll", "id"], "left_semi")
+        else:
+            found = found.drop("op")
+        docs = store.typed(found)
         order = []
     if plan.limit is not None or plan.offset:
         docs = docs if order else docs.orderBy("id")  # a stable page
         docs = docs.offset(plan.offset) if plan.offset else docs
         docs = docs.limit(plan.limit) if plan.limit is not None else docs
     if plan.group_by:
-        docs = grouped(docs, plan.group_by, *(plan.aggregate or ("COUNT", None)))
+        docs = grouped(docs, plan.group_by, column, *(plan.aggregate or ("COUNT", None)))
     if plan.columns:
         docs = docs.select(*[column(c)[0].alias(c) if column(c)[0] is not None else F.lit(None).alias(c) for c in plan.columns])
     return docs
 
 
-def search(docs: DataFrame, text: str, fields: list[str] | None):
-    """With indexed fields: every token equals one of theirs.  Without: every token is in the text of all values."""
+def search(docs: DataFrame, text: str, fields: list[str] | None, whole_json: bool = False):
+    """With indexed fields: every token equals one of theirs.  Without: every token is in the text of all values; or the text in the JSON."""
+    if whole_json:
+        own = [c for c in docs.columns if c not in ("seq", "hash")]
+        return F.lower(F.to_json(F.struct(*own))).contains(text.lower())
     asked = values.query_tokens(text)
     if not asked:
         return F.lit(False)
@@ -94,11 +127,13 @@ def search(docs: DataFrame, text: str, fields: list[str] | None):
     return found
 
 
-def grouped(docs: DataFrame, by: str, function: str, of: str | None) -> DataFrame:
-    """(by, count[, function_of]): numbers only; an empty SUM is 0, other empty ones are null."""
+def grouped(docs: DataFrame, by: str, column: Callable, function: str, of: str | None) -> DataFrame:
+    """(by, count[, function_of]): numbers only; an empty SUM is 0, other empty ones are null; an absent field is one null group."""
     out = [F.count("*").alias("count")]
     if function != "COUNT":
-        number = F.col(of) if of in docs.columns and isinstance(docs.schema[of].dataType, values.NUMBERS) else F.lit(None).cast("double")
+        c, kind = column(of)
+        number = c if isinstance(kind, values.NUMBERS) else F.lit(None).cast("double")
         made = {"SUM": F.coalesce(F.sum(number), F.lit(0)), "AVG": F.avg(number), "MIN": F.min(number), "MAX": F.max(number)}[function]
         out.append(made.alias(f"{function.lower()}_{of}"))
-    return docs.groupBy(by).agg(*out)
+    key, _ = column(by)
+    return docs.groupBy((key if key is not None else F.lit(None).cast("string")).alias(by)).agg(*out)

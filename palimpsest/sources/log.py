@@ -43,7 +43,10 @@ def field_types(docs: DataFrame) -> DataFrame:
 
 
 def json_field_types(docs: DataFrame, column: str = "doc") -> DataFrame:
-    """The same for documents of JSON text, over all of them."""
-    keys = docs.select(F.explode(F.json_object_keys(column)).alias("field"), F.col(column).alias("d"))
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("d"), "$", "variant"))
-    return keys.groupBy("field").agg(F.count("*").alias("n"), F.min(kind).alias("example"))
+    """(field, type, n) over all documents of JSON text: the fields' types, "mixed" where they differ, nulls aside; all null is json."""
+    parsed = F.try_parse_json(column)
+    docs = docs.select(parsed.alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    each = docs.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer())).select(F.col("key").alias("field"), F.schema_of_variant("value").alias("t"))
+    word = F.when(F.col("t") == "BOOLEAN", "boolean").when(F.col("t") == "STRING", "string").when(F.col("t").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number").when(F.col("t") != "VOID", "json")
+    got = each.groupBy("field").agg(F.min(word).alias("least"), F.max(word).alias("most"), F.count("*").alias("n"))
+    return got.select("field", F.when(F.col("least") != F.col("most"), "mixed").otherwise(F.coalesce("least", F.lit("json"))).alias("type"), "n")
