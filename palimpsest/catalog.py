@@ -11,6 +11,7 @@ from palimpsest.functions import values
 from palimpsest.operators import documents, files, graph, integrity, keyvalue, resolve, writes
 from palimpsest.plans.lower import Store
 from palimpsest.plans.plan import Query
+from palimpsest.sources import log
 from palimpsest.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +72,8 @@ def store(spark, d) -> Store:
     got = {"sessions": sessions(spark, d), "policies": policies(spark, d)}
     for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("documents", "doc_id")):
         got[name] = keyed(table(spark, d, name), key)
-    return Store(got, places(spark, d), {"places": "orders"}, {"part": ["p_name", "p_type"]})
+    current = frozenset(got) - {"sessions"}  # tables of one row a key
+    return Store(got, places(spark, d), {"places": "orders"}, {"part": ["p_name", "p_type"]}, current)
 
 
 HEAD = "SELECT user_id AS id, event_id AS seq, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events {where}) WHERE n = 1 AND event_type <> 'error'"
@@ -185,9 +187,9 @@ def search_scan(s, d):
     return store(s, d).query("FROM documents SEARCH 'Licensed under'").select("id")
 
 
-@query("SELECT p_partkey AS id FROM part WHERE list_contains(list_concat(regexp_extract_all(lower(p_name), '[a-z0-9]+'), regexp_extract_all(lower(p_type), '[a-z0-9]+')), 'steel')")
+@query("SELECT p_partkey AS id FROM part WHERE list_contains(list_concat(regexp_extract_all(lower(p_name), '[a-z0-9]+'), regexp_extract_all(lower(p_type), '[a-z0-9]+')), 'promo') AND list_contains(regexp_extract_all(lower(p_name), '[a-z0-9]+'), 'widget')")
 def search_tokens(s, d):
-    return store(s, d).query("FROM part SEARCH 'Steel'").select("id")
+    return store(s, d).query("FROM part SEARCH 'Widget promo'").select("id")
 
 
 @query("SELECT c_custkey AS id, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
@@ -371,9 +373,9 @@ def sql_select(s, d):
     return store(s, d).sql("SELECT c_name, c_acctbal FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0 ORDER BY c_acctbal LIMIT 20")
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_type LIKE '%STEEL%'")
+@query("SELECT p_partkey AS id FROM part WHERE p_type LIKE '%ONOM%'")
 def sql_like(s, d):
-    return store(s, d).sql("SELECT id FROM part WHERE p_type LIKE '%STEEL%'")
+    return store(s, d).sql("SELECT id FROM part WHERE p_type LIKE '%ONOM%'")
 
 
 @query(f"SELECT id FROM ({VALID}) WHERE valid_to IS NULL")
@@ -469,12 +471,22 @@ def compaction_stats(s, d):
     return writes.compaction_stats(sessions(s, d))
 
 
-@query()
+@query("SELECT event_id AS seq, true AS ok FROM events")
 def chain_verify(s, d):
     body = F.to_json(F.struct("event_type", "props", "ts", "user_id", "value"))
     return integrity.verify_commits(*integrity.seal_commits(table(s, d, "events").select(F.col("event_id").alias("seq"), body.alias("body"))))
 
 
+@query("SELECT event_id AS seq FROM events WHERE event_id % 700 = 13 AND value > 50")
+def tamper_localised(s, d):
+    """Bodies that are changed after sealing: just they are found."""
+    body = F.to_json(F.struct("event_type", "user_id", "value"))
+    sealed, heads = integrity.seal_commits(table(s, d, "events").select(F.col("event_id").alias("seq"), body.alias("body")))
+    hit = (F.col("seq") % 700 == 13) & (F.get_json_object("body", "$.value").cast("double") > 50)
+    changed = sealed.withColumn("body", F.when(hit, F.concat("body", F.lit(" "))).otherwise(F.col("body")))
+    return integrity.verify_commits(changed, heads).where("not ok").select("seq")
+
+
 def _pieces(s, d) -> DataFrame:
     return files.cut(table(s, d, "pages").select(F.col("url").alias("name"), F.col("page_id").alias("version"), F.col("html").alias("data")))
 
@@ -484,17 +496,203 @@ def merkle_root(s, d):
     return files.recipes(_pieces(s, d)).select("name", "version", "root")
 
 
+@query("SELECT url AS name, page_id AS version, sum(octet_length(encode(html)))::BIGINT AS size FROM pages GROUP BY ALL")
+def chunk_sizes(s, d):
+    """Pieces of a file add up to it, are within their bounds, and are in unbroken order."""
+    p = _pieces(s, d)
+    bounds = F.max("size") <= files.MOST
+    whole = F.max("pos") + 1 == F.count("*")
+    return p.groupBy("name", "version").agg(F.sum("size").alias("size"), (bounds & whole).alias("sound")).where("sound").drop("sound")
+
+
 @query()
 def chunk_stats(s, d):
     return files.stats(_pieces(s, d))
 
 
-@query("SELECT url AS name, page_id AS version, octet_length(encode(html)) AS n FROM pages")
+@query("SELECT url AS name, page_id AS version, octet_length(encode(html)) AS n, sha256(html) AS content FROM pages")
 def file_restore(s, d):
     p = _pieces(s, d)
-    return files.restore(files.recipes(p), files.store(p)).select("name", "version", F.octet_length("data").alias("n"))
+    return files.restore(files.recipes(p), files.store(p)).select("name", "version", F.octet_length("data").alias("n"), F.sha2("data", 256).alias("content"))
 
 
-@query("SELECT p_partkey AS id, regexp_extract_all(lower(p_name), '[a-z0-9]+')[1] AS token FROM part")
+@query("SELECT DISTINCT p_partkey AS id, unnest(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_name), '[a-z0-9]+')) AS token FROM part")
 def tokenise(s, d):
-    return table(s, d, "part").select(F.col("p_partkey").alias("id"), values.tokens(F.col("p_name"))[0].alias("token"))
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.explode(values.tokens(F.concat_ws(" ", "p_name", "p_type", "p_name"))).alias("token"))
+
+
+@query("SELECT n_nationkey AS id FROM nation WHERE contains(lower(to_json({'id': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})), lower('NATION_1'))")
+def search_json(s, d):
+    nations = Store({"nation": keyed(table(s, d, "nation"), "n_nationkey")}, current=frozenset(["nation"]), json_search=True)
+    return nations.query("FROM nation SEARCH 'NATION_1'").select("id")
+
+
+@query("SELECT NULL::VARCHAR AS nowhere, count(*) AS count FROM customer")
+def group_absent(s, d):
+    return store(s, d).query("FROM customer GROUP BY nowhere COUNT")
+
+
+@query("SELECT c_custkey AS _id, count(*) AS count FROM customer GROUP BY 1")
+def group_by_id(s, d):
+    return store(s, d).query("FROM customer GROUP BY _id COUNT")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE false")
+def sql_like_absent(s, d):
+    return store(s, d).sql("SELECT id FROM customer WHERE nowhere LIKE '%a%'")
+
+
+@query(f"SELECT id FROM ({VALID}) WHERE valid_from >= '1997-01-01' AND id >= 100")
+def pseudo_fields(s, d):
+    return store(s, d).query("FROM policies WHERE _valid_from >= '1997-01-01' AND _seq >= 100").select("id")
+
+
+#: A causal log of two collections: prompts, and the answers that they cause.
+LAYERS = TURNS + """c AS (SELECT seq, cause, conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'prompts' ELSE 'answers' END AS coll FROM t), """
+
+
+def _layers(s, d) -> Store:
+    t = turns(s, d)
+    return Store({"prompts": t.where("turn % 2 = 0"), "answers": t.where("turn % 2 = 1")})
+
+
+@query(LAYERS + "r AS (SELECT cause AS seq FROM c WHERE turn = 3 AND cause IS NOT NULL UNION SELECT c.cause FROM r JOIN c ON c.seq = r.seq WHERE c.cause IS NOT NULL) SELECT c.seq, c.coll FROM r JOIN c ON c.seq = r.seq")
+def trace_collections(s, d):
+    return _layers(s, d).query("FROM answers WHERE turn = 3 TRACE caused_by").select("seq", "coll")
+
+
+@query(LAYERS + "r AS (SELECT x.seq FROM c JOIN c x ON x.cause = c.seq WHERE c.turn = 0 AND c.seq <= 60000 AND x.seq <= 60000 UNION SELECT c.seq FROM r JOIN c ON c.cause = r.seq WHERE c.seq <= 60000) SELECT c.seq, c.coll FROM r JOIN c ON c.seq = r.seq")
+def trace_collections_forward_as_of(s, d):
+    return _layers(s, d).query("FROM prompts AS OF 60000 WHERE turn = 0 TRACE caused_by REVERSE").select("seq", "coll")
+
+
+@query(TURNS + "r AS (SELECT seq AS root, seq, 0 AS depth FROM t WHERE turn = 5 UNION ALL SELECT r.root, t.cause, r.depth + 1 FROM r JOIN t ON t.seq = r.seq WHERE t.cause IS NOT NULL AND r.depth < 2) SELECT root, seq, depth::INTEGER AS depth FROM r")
+def trace_with_root(s, d):
+    ops = turns(s, d)
+    return graph.trace_each(ops, ops.where("turn = 5").select("seq"), limit=3)
+
+
+def _profiles(s, d) -> DataFrame:
+    """Documents with an object and an array."""
+    c = table(s, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")).alias("o"), F.array(F.col("c_nationkey"), F.col("c_nationkey") + 1, F.lit(7)).alias("tags"), "c_acctbal", "c_mktsegment")
+
+
+#: Updates of profiles: the change, and SQL for (id, value) of what it alters.
+UPDATES = {
+    "update_set_nested": ({"c_mktsegment": "BUILDING"}, {"$set": {"o.nation": 99}}, "concat_ws('|', o.name, o.nation)", "SELECT c_custkey AS id, concat_ws('|', c_name, 99) AS value FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "update_set_parents": ({"id": {"$lt": 20}}, {"$set": {"new.deep": "x"}}, "new.deep", "SELECT c_custkey AS id, 'x' AS value FROM customer WHERE c_custkey < 20"),
+    "update_set_on_insert": ({}, {"$setOnInsert": {"o.nation": 1}}, "o.name", "SELECT c_custkey AS id, c_name AS value FROM customer WHERE false"),
+    "update_unset": ({"o.nation": 3}, {"$unset": {"o.name": 1}}, "coalesce(o.name, '-')", "SELECT c_custkey AS id, '-' AS value FROM customer WHERE c_nationkey = 3"),
+    "update_mul": ({"c_acctbal": {"$gt": 0}}, {"$mul": {"o.nation": 3}, "$inc": {"c_acctbal": 1}}, "cast(o.nation as string)", "SELECT c_custkey AS id, (c_nationkey * 3)::VARCHAR AS value FROM customer WHERE c_acctbal > 0"),
+    "update_min_max": ({}, {"$min": {"o.nation": 12}}, "cast(o.nation as string)", "SELECT c_custkey AS id, '12' AS value FROM customer WHERE c_nationkey > 12"),
+    "update_rename": ({"id": {"$lte": 50}}, {"$rename": {"c_mktsegment": "segment"}}, "segment", "SELECT c_custkey AS id, c_mktsegment AS value FROM customer WHERE c_custkey <= 50"),
+    "update_push": ({"tags": 3}, {"$push": {"tags": {"$each": [100, 3]}}}, "array_join(tags, ',')", "SELECT c_custkey AS id, concat_ws(',', c_nationkey, c_nationkey + 1, 7, 100, 3) AS value FROM customer WHERE c_nationkey IN (2, 3)"),
+    "update_add_to_set": ({}, {"$addToSet": {"tags": 5}}, "array_join(tags, ',')", "SELECT c_custkey AS id, concat_ws(',', c_nationkey, c_nationkey + 1, 7, 5) AS value FROM customer WHERE c_nationkey NOT IN (4, 5)"),
+    "update_pull": ({}, {"$pull": {"tags": {"$gte": 8}}}, "array_join(tags, ',')", "SELECT c_custkey AS id, array_to_string([x FOR x IN [c_nationkey, c_nationkey + 1, 7] IF x < 8], ',') AS value FROM customer WHERE c_nationkey >= 7"),
+    "update_pop": ({"id": {"$mod": [-5, -2]}}, {"$pop": {"tags": -1}}, "array_join(tags, ',')", "SELECT c_custkey AS id, concat_ws(',', c_nationkey + 1, 7) AS value FROM customer WHERE c_custkey % 5 = 3"),
+}
+for _name, (_q, _change, _value, _sql) in UPDATES.items():
+    QUERIES[_name] = lambda s, d, q=_q, c=_change, v=_value: documents.update(_profiles(s, d), q, c).selectExpr("id", f"{v} AS value")
+    SQL[_name] = _sql
+
+
+@query("SELECT c_custkey AS id, 'gone' AS note FROM customer WHERE c_nationkey = 4")
+def replace_documents(s, d):
+    return documents.replace(_profiles(s, d), {"o.nation": 4}, {"note": "gone"})
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_nationkey BETWEEN 8 AND 11 OR c_nationkey + 1 BETWEEN 8 AND 11")
+def mongo_elem_match(s, d):
+    return documents.find(_profiles(s, d), {"tags": {"$elemMatch": {"$gte": 8, "$lte": 11}}}).select("id")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (3, 5, 8)")
+def mongo_find_by_id(s, d):
+    return documents.find(_profiles(s, d), {"_id": {"$in": [3, 5, 8]}}).select("id")
+
+
+@query("SELECT o_orderstatus AS status, year(o_orderdate)::INTEGER AS y, count(*) AS n FROM orders GROUP BY ALL")
+def mongo_group_composite(s, d):
+    o = _orders(s, d).withColumn("y", F.year("o_orderdate"))
+    out = documents.aggregate(o, [{"$group": {"_id": {"status": "$o_orderstatus", "y": "$y"}, "n": {"$sum": 1}}}])
+    return out.select("_id.status", "_id.y", F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT count(*) AS n, round(min(o_totalprice), 2) AS least, round(max(o_totalprice), 2) AS most FROM orders")
+def mongo_group_all(s, d):
+    out = documents.aggregate(_orders(s, d), [{"$group": {"_id": None, "n": {"$sum": 1}, "least": {"$min": "$o_totalprice"}, "most": {"$max": "$o_totalprice"}}}])
+    return out.select(F.col("n").cast("long").alias("n"), F.round("least", 2).alias("least"), F.round("most", 2).alias("most"))
+
+
+@query("SELECT o_custkey AS cust, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS dearest, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_totalprice DESC, o_orderkey) AS ranked FROM orders GROUP BY 1")
+def mongo_first_descending(s, d):
+    out = documents.aggregate(_orders(s, d), [{"$sort": {"o_totalprice": -1}}, {"$group": {"_id": "$o_custkey", "dearest": {"$first": "$id"}, "ranked": {"$push": "$id"}}}])
+    return out.select(F.col("_id").alias("cust"), "dearest", F.array_join(F.col("ranked").cast("array<string>"), ",").alias("ranked"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 30 OFFSET 5")
+def mongo_stages(s, d):
+    return documents.aggregate(_orders(s, d), [{"$match": {"o_orderstatus": "F"}}, {"$sort": {"o_totalprice": 1}}, {"$skip": 5}, {"$limit": 30}, {"$project": {"id": 1}}])
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_totalprice > 100000")
+def mongo_count_documents(s, d):
+    return documents.find(_orders(s, d), {"o_totalprice": {"$gt": 100000}}).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS id FROM customer ORDER BY c_custkey LIMIT 12")
+def limit_only(s, d):
+    return store(s, d).query("FROM customer LIMIT 12").select("id")
+
+
+@query("SELECT * FROM (VALUES ('c_acctbal', 'number'), ('c_custkey', 'number'), ('c_mktsegment', 'string'), ('c_name', 'string'), ('c_nationkey', 'number')) AS t(field, type)")
+def field_types(s, d):
+    return log.field_types(table(s, d, "customer"))
+
+
+@query("SELECT 'k' AS field, 'number' AS type, count(*) AS n FROM events UNION ALL SELECT 'who', CASE WHEN count(DISTINCT user_id % 2) = 2 THEN 'mixed' ELSE 'string' END, count(*) FROM events UNION ALL SELECT 'at', 'json', count(*) FROM events WHERE event_type = 'click'")
+def json_field_types(s, d):
+    k = F.get_json_object("props", "$.k").cast("long").alias("k")
+    who = F.when(F.col("user_id") % 2 == 0, F.to_json(F.struct(k, F.col("user_id").alias("who")))).otherwise(F.to_json(F.struct(k, F.col("event_type").alias("who"))))
+    at = F.when(F.col("event_type") == "click", F.regexp_replace(who, r"\}$", ',"at":{"x":1}}')).otherwise(who)
+    return log.json_field_types(table(s, d, "events").select(at.alias("doc")))
+
+
+@query("SELECT 'turns' AS coll, turn::VARCHAR AS id, CASE WHEN role = 'user' THEN '{\"r\":1}' ELSE '{\"_v\":\"' || role || '\"}' END AS doc FROM conversations WHERE conv_id % 10 = 3")
+def register_keys(s, d):
+    value = F.when(F.col("role") == "user", F.lit('{"r":1}')).otherwise(F.col("role"))
+    pairs = table(s, d, "conversations").select(F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("key"), value.alias("value"))
+    return keyvalue.register(pairs, "turn:*3:*", "turns")
+
+
+@query("SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def folded_head(s, d):
+    """What the streaming HEAD holds, as a batch."""
+    return feed.streaming_head(sessions(s, d)).select("id", "seq", "event_type")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY 1")
+def windowed_counts(s, d):
+    got = feed.windowed(table(s, d, "events").withColumn("at", F.col("ts").cast("timestamp")), "at", "1 day", "1 hour")
+    return got.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT user_id AS coll, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS fields FROM (SELECT user_id, event_type, max(event_id)::VARCHAR AS n FROM events WHERE event_type <> 'error' GROUP BY ALL) GROUP BY 1")
+def hash_maps(s, d):
+    ops = sessions(s, d).where("op = 'put'").select("seq", "op", F.col("id").alias("coll"), F.col("event_type").alias("id"), F.col("seq").cast("string").alias("value"))
+    return keyvalue.hash_maps(ops).select("coll", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("fields"))
+
+
+@query(EDGES + 'SELECT "to" AS member FROM edges WHERE frm = 7 AND removed_seq IS NULL')
+def set_members(s, d):
+    return keyvalue.members(churn(s, d), 7)
+
+
+@query("SELECT count(*) = 0 AS same FROM events WHERE false")
+def rebuild_is_live(s, d):
+    """The state folded from the log is the one kept from a snapshot."""
+    v = sessions(s, d)
+    kept = writes.snapshot_plus_delta(resolve.as_of(v, 400), 400, v)
+    live = resolve.head(v).select(kept.columns)
+    return kept.exceptAll(live).union(live.exceptAll(kept)).agg((F.count("*") == 0).alias("same"))

@@ -121,7 +121,7 @@ def match(schema: T.StructType, query: dict) -> Column:
 
 def project(docs: DataFrame, projection: dict, key: str = "id") -> DataFrame:
     asked = {key if k == "_id" else k: bool(v) for k, v in projection.items()}
-    modes = {v for k, v in asked.items() if k != key}
+    modes = {v for k, v in asked.items() if k != key} or set(asked.values())
     if len(modes) > 1:
         raise DialectError("a projection includes or excludes, not both")
     if modes == {True}:
@@ -322,7 +322,8 @@ def update(docs: DataFrame, query: dict, change: dict, key: str = "id") -> DataF
         if name not in own:
             return made[name][0].isNotNull()
         (a, x), (b, y) = own[name], made[name]
-        return ~a.eqNullSafe(b) if x == y or isinstance(x, NUMBERS) and isinstance(y, NUMBERS) else F.lit(True)
+        same = y is not None and x.simpleString() == y.simpleString()  # whether nulls are allowed doesn't matter
+        return ~a.eqNullSafe(b) if same or isinstance(x, NUMBERS) and isinstance(y, NUMBERS) else F.lit(True)
 
     touched = [n for n in {**own, **made} if own.get(n) is not made.get(n)]
     out = hit.where(reduce(lambda a, b: a | b, map(changed, touched), F.lit(False)))
