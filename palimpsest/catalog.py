@@ -68,12 +68,24 @@ def places(spark, d) -> DataFrame:
     return o.select(F.col("o_custkey").alias("frm"), F.lit("places").alias("rel"), F.col("o_orderkey").alias("to"), F.col("o_orderkey").alias("added_seq"), F.lit(None).cast("long").alias("removed_seq"))
 
 
+class Tables(dict):
+    """Collections by name, each opened when it is asked for: opening a table reads its files' footers."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        super().__init__()
+        self.makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.makers[name]()
+        return self[name]
+
+
 def store(spark, d) -> Store:
-    got = {"sessions": sessions(spark, d), "policies": policies(spark, d)}
+    makers = {"sessions": lambda: sessions(spark, d), "policies": lambda: policies(spark, d)}
     for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("documents", "doc_id")):
-        got[name] = keyed(table(spark, d, name), key)
-    current = frozenset(got) - {"sessions"}  # tables of one row a key
-    return Store(got, places(spark, d), {"places": "orders"}, {"part": ["p_name", "p_type"]}, current)
+        makers[name] = lambda name=name, key=key: keyed(table(spark, d, name), key)
+    current = frozenset(makers) - {"sessions"}  # tables of one row a key
+    return Store(Tables(makers), lambda: places(spark, d), {"places": "orders"}, {"part": ["p_name", "p_type"]}, current)
 
 
 HEAD = "SELECT user_id AS id, event_id AS seq, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events {where}) WHERE n = 1 AND event_type <> 'error'"

@@ -26,7 +26,7 @@ class Store:
     """
 
     collections: dict[str, DataFrame]
-    edges: DataFrame | None = None
+    edges: DataFrame | Callable[[], DataFrame] | None = None
     targets: dict[str, str] = field(default_factory=dict)
     search_fields: dict[str, list[str]] = field(default_factory=dict)
     current: frozenset[str] = frozenset()
@@ -83,7 +83,7 @@ def run(plan: Plan, store: Store) -> DataFrame:
         order = [*([values.ordered(c, plan.order_by[1])] if c is not None else []), F.col("id")]
         docs = docs.orderBy(*order)
     if plan.traverse:
-        docs = graph.traverse(docs, store.edges, store.state(store.targets[plan.traverse], plan.as_of), plan.traverse, plan.as_of)
+        docs = graph.traverse(docs, store.edges() if callable(store.edges) else store.edges, store.state(store.targets[plan.traverse], plan.as_of), plan.traverse, plan.as_of)
         order = []
     if plan.trace:
         # the walk goes through the puts of all collections; what it reaches may be of any
