@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.shared import Workspace, components, only_hits, read, shared_dir
+from palimpsest.llm.word_bpe import planes, spread_out, squeezed, unplanes
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -30,6 +31,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAVY, HEAVY_FROM = 1 << 17, 32
 #: N-grams that a task counts, and postings that it emits, at once.
 FLUSH, EMIT = 2_000_000, 200_000
+#: N-grams of all documents for each range of hashes that is summed in one group.
+RANGE = 8_000_000
 #: Classes of a list that meet in one cell when pairs are formed.
 CELL = 256
 #: Sets beyond this size are never small: their subsets are too many.
@@ -129,30 +132,50 @@ class Joiner:
     def heavy(self) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent n-grams by the upper halves of their hashes (sorted), and their ranks: 1 is the rarest of them.
 
-        Counts are exact and over all documents: a task adds up FLUSH n-grams at a time and sends (n-gram, count) rows, which are summed
-        before and after they travel.  Any total order gives right results; this one keeps frequent n-grams out of prefixes.
+        Counts are exact and over all documents.  A task adds up FLUSH n-grams at a time and packs the counts by ranges of hashes, a row
+        a range; the rows of a range are summed in one group.  Ranges are as many as the n-grams of all documents ask for, so that a
+        group is of bounded size: a frequent n-gram is in it once for each time that a task adds up.
+        Any total order gives right results; this one keeps frequent n-grams out of prefixes.
         """
         words = self.words
+        ranges = max(32, -(-(self.info.agg(F.sum("n")).first()[0] or 0) // RANGE))
+        bounds = ((np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)).astype(np.uint32)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, n = [], 0
 
-            def flushed() -> Iterator[pa.RecordBatch]:
+            def flushed() -> pa.RecordBatch:
                 x, c = np.unique(np.concatenate(held), return_counts=True)
-                yield from pa.table({"x": pa.array(x.astype(np.int64)), "c": pa.array(c.astype(np.int64))}).to_batches(50_000)
+                cuts = np.searchsorted(x, bounds)
+                rows = [(k, y, m) for k, (y, m) in enumerate(zip(np.split(x, cuts), np.split(c, cuts), strict=True)) if len(y)]
+                more = [np.flatnonzero(m > 1) for _, _, m in rows]
+                packed = [squeezed(planes(np.diff(y, prepend=np.uint32(0))), planes(i), planes(m[i])) for (_, y, m), i in zip(rows, more, strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(packed, pa.binary())], names=["range", "packed"])
 
             for b in batches:
                 for t in b.column(0).to_pylist():
                     if len(s := shingles(t, words)):
-                        held.append(s >> np.uint64(32))
+                        held.append((s >> np.uint64(32)).astype(np.uint32))
                         n += len(s)
                     if n >= FLUSH:
-                        yield from flushed()
+                        yield flushed()
                         held, n = [], 0
             if held:
-                yield from flushed()
-
-        found = self.docs.select("t").mapInArrow(count, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_FROM)
+                yield flushed()
+
+        def summed(table: pa.Table) -> pa.Table:
+            seen, again, more = [], [], []
+            for data in table.column("packed").to_pylist():
+                steps, at, c = map(unplanes, spread_out(data))
+                seen.append(np.cumsum(steps, dtype=np.uint32))
+                again.append(seen[-1][at])
+                more.append(c.astype(np.int64) - 1)
+            x, c = np.unique(np.concatenate(seen), return_counts=True)
+            np.add.at(c, np.searchsorted(x, np.concatenate(again)), np.concatenate(more))
+            often = c >= HEAVY_FROM
+            return pa.table({"x": pa.array(x[often].astype(np.int64)), "c": pa.array(c[often].astype(np.int64))})
+
+        found = self.docs.select("t").mapInArrow(count, "range long, packed binary").groupBy("range").applyInArrow(summed, "x long, c long")
         found = self.work.write(found, "frequent")
         step = F.floor(F.log2("c") * 16)
         least, n = 0, 0

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -411,3 +412,17 @@ def test_pipeline(spark):
     assert sorted((r.doc_id, list(r.ids)) for r in encoded) == sorted((r.doc_id, t.encode_ordinary(r.text)) for r in mixed)
     again = corpus_pipeline.run(spark, SF)
     assert sorted((r.doc_id, r.n_tokens) for r in again.collect()) == sorted((r.doc_id, r.n_tokens) for r in encoded)
+
+
+@pytest.mark.parametrize("flush", [7, 2_000_000])
+def test_counts_of_ngrams_are_exact(spark, monkeypatch, flush):
+    monkeypatch.setattr(jaccard_join, "FLUSH", flush)
+    monkeypatch.setattr(jaccard_join, "RANGE", 50)
+    monkeypatch.setattr(jaccard_join, "HEAVY_FROM", 3)
+    rows = list(enumerate(["", None, "a b c d e f g " * 9, *["a b c d e f"] * 4, *varied(random.Random(8), 120)]))
+    j = jaccard_join.Joiner(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), Workspace(spark, "t4n"))
+    j.classes()
+    x, rank = j.heavy()
+    count = Counter(int(h) >> 32 for _, t in rows for h in jaccard_join.shingles(t))
+    want = [x for _, x in sorted((c, x) for x, c in count.items() if c >= 3)]
+    assert x.tolist() == sorted(want) and [want[r - 1] for r in rank] == x.tolist() and len(want) > 20
