@@ -430,6 +430,12 @@ class Database:
         log.write_snapshot(resolve.as_of(self._keyed(), at, "__key").drop("__key"), at, f"{self.path}/snapshot")
         return at
 
+    def checkpoint_if_due(self, minutes: int, now: float | None = None) -> int | None:
+        """A checkpoint, unless one was made since the clock last passed a multiple of so many minutes; its number, or None."""
+        last = self.ops().where("op = 'checkpoint'").agg(F.max("ts")).first()[0]
+        now = now if now is not None else time.time()
+        return self.checkpoint() if last is None or last // (60 * minutes) < now // (60 * minutes) else None
+
     def head_from_snapshot(self) -> DataFrame:
         """HEAD of all collections from the last checkpoint and the ops after it."""
         held = self.spark.read.parquet(f"{self.path}/snapshot")

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,6 +154,48 @@ def derived_key(secret: bytes, salt: bytes, info: bytes, size: int = 32) -> byte
     return out[:size]
 
 
+def wrap_key(spark: SparkSession, key: bytes, master: bytes, aad: str = "") -> dict:
+    """A data key under a master key (AES-256-GCM): nonce, and ciphertext with its tag, in hexadecimal."""
+    sealed = encrypted(spark.createDataFrame([(bytearray(key),)], "k binary"), "k", master, aad).first().k
+    return {"v": 1, "alg": "AES-256-GCM", "n": bytes(sealed[:12]).hex(), "ct": bytes(sealed[12:]).hex()}
+
+
+def unwrap_key(spark: SparkSession, wrapped: dict, master: bytes, aad: str = "") -> bytes:
+    """The data key; another master key, or a changed one, is an error."""
+    sealed = bytearray.fromhex(wrapped["n"] + wrapped["ct"])
+    k = F.unhex(F.lit(master.hex()))
+    opened = F.aes_decrypt("k", k, F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad))
+    return bytes(spark.createDataFrame([(sealed,)], "k binary").select(opened.alias("k")).first().k)
+
+
+def rewrap_key(spark: SparkSession, wrapped: dict, old: bytes, new: bytes, aad: str = "") -> dict:
+    """The same data key under another master key: no data changes."""
+    return wrap_key(spark, unwrap_key(spark, wrapped, old, aad), new, aad)
+
+
+@F.pandas_udf(T.StringType())
+def cut_digest(data: pd.Series) -> pd.Series:
+    """The first 32 bytes of BLAKE2b-512, in hexadecimal; not the same as BLAKE2b-256."""
+    return data.map(lambda x: None if x is None else hashlib.blake2b(bytes(x)).hexdigest()[:64])
+
+
+def running_head(ops: DataFrame, head: str = "") -> DataFrame:
+    """The head (seq, head) after ops (seq, hash) in their order: the cut digest of head, number (8 bytes, little-endian) and hash.
+
+    Each step needs the one before: one ordered task, of a number and a hash an op.  No row for no ops.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seq = head, None
+        for rows in batches:
+            for seq, h in zip(rows["seq"], rows["hash"], strict=True):
+                last = hashlib.blake2b(last.encode() + int(seq).to_bytes(8, "little") + h.encode()).hexdigest()[:64]
+        if seq is not None:
+            yield pd.DataFrame({"seq": [seq], "head": [last]})
+
+    return ops.select("seq", "hash").orderBy("seq").coalesce(1).mapInPandas(fold, "seq long, head string")
+
+
 def encrypted(docs: DataFrame, column: str, key: bytes, aad: str = "") -> DataFrame:
     k = F.unhex(F.lit(key.hex()))
     return docs.withColumn(column, F.aes_encrypt(F.col(column).cast("binary"), k, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(aad)))

@@ -50,6 +50,15 @@ def subscribe(ops: DataFrame, rerun: Callable[[], DataFrame], push: Callable[[li
     return ops.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow(ops: DataFrame, push: Callable[[DataFrame, int], None], checkpoint: str, live: bool = False) -> StreamingQuery:
+    """Hands each batch of new ops and its number to push, from where the checkpoint stands.  It ends when it has caught up, unless live.
+
+    Ops are in order across batches, not within one; a batch can come again after a failure, with the same number.
+    """
+    trigger = {"processingTime": "1 second"} if live else {"availableNow": True}
+    return ops.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def idempotent(ops: DataFrame, delay: str = "1 hour") -> DataFrame:
     """First op of each idempotency key within a delay of event time."""
     return ops.withWatermark("at", delay).dropDuplicatesWithinWatermark(["idem"])
